@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NEVER = "TIMESTAMP '0001-01-01 00:00:00'"
@@ -27,3 +27,15 @@ def current_rows(
         aggs.append(F.min(time_col).alias(first_seen))
     out = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*aggs)
     return out.select(id_col, *[F.col("__row")[c].alias(c) for c in rest], *([first_seen] if first_seen else []))
+
+
+def current_where(df: DataFrame, id_col: str, time_col: str, keep: Column, columns: list[str]) -> DataFrame:
+    """The current rows (see ``current_rows``) for which ``keep`` holds, reduced to ``columns``.
+
+    For wide rows of which few are wanted: only ids and times of all rows are shuffled,
+    and the wide columns of rows that satisfy ``keep``.
+    """
+    order = F.coalesce(F.col(time_col), F.expr(_NEVER))
+    latest = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(order).alias("__t"))
+    wide = df.where(F.col(id_col).isNotNull() & keep).select(*dict.fromkeys([id_col, *columns]), order.alias("__t"))
+    return wide.join(latest, [id_col, "__t"], "left_semi").dropDuplicates([id_col]).drop("__t")

@@ -19,7 +19,7 @@ MAX_BUCKETS = 512
 ROWS_PER_TASK = 100_000
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of ``keys`` on both sides."""
     cond = F.lit(True)
     for k in keys:
@@ -120,14 +120,15 @@ def _eq(keys: list[str]) -> Column:
     return cond
 
 
-def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows_per_task: int = ROWS_PER_TASK, ways: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows_per_task: int = ROWS_PER_TASK, ways: int = 64, hot: list | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of an equi-join with a salt for the keys hot on the left, and the keys to join on.
 
     A hot key's left rows spread over ``ways`` groups by a hash of ``spread``; the right
     rows of hot keys repeat once per group. ``right`` should hold few rows per key.
-    Without hot keys both sides come back as they are.
+    Without hot keys both sides come back as they are. ``hot`` gives rows with the hot
+    keys (at most MAX_HOT) where they are known already.
     """
-    top = left.groupBy(*keys).count().where(F.col("count") > rows_per_task).orderBy(F.desc("count")).limit(MAX_HOT).collect()
+    top = hot if hot is not None else left.groupBy(*keys).count().where(F.col("count") > rows_per_task).orderBy(F.desc("count")).limit(MAX_HOT).collect()
     if not top:
         return left, right, keys
     hot = left.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in top], left.select(*keys).schema)
