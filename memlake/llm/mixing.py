@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
     # what the cut leaves open in a source is closed by the waiting document that fits it best
     have = {r["source"]: r["size"] for r in taken.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goals = given(caps, weights, end)
-    gaps = spark.createDataFrame([(s, goals[s] - have.get(s, 0)) for s in caps], "source string, gap double")
+    gaps = spark.createDataFrame([(s, float(goals[s] - have.get(s, 0))) for s in caps], "source string, gap double")
     miss = F.abs(F.col("gap") - F.col("size"))
     closing = queued.where(~within).join(F.broadcast(gaps), "source").where(miss < F.col("gap"))
     closing = closing.groupBy("source").agg(F.min_by(F.struct("key", "size", "copy_no", "finish"), F.struct(miss, "finish", "key")).alias("c")).select("c.key", "source", "c.size", "c.copy_no", "c.finish")

@@ -9,6 +9,7 @@ from memlake.llm.chunking import split_items
 from memlake.llm.mixing import mix_documents
 from memlake.llm.packing import pack_documents, packing_report
 from memlake.llm.similar import most_similar
+from memlake.llm.subjects import SHARE, subject_shares
 from memlake.operators.current import current_rows, current_where
 
 
@@ -37,6 +38,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour_
 P1_FOUND = _VECTORS + "SELECT id, neighbour_id FROM top WHERE r <= 10"
 
 LIMIT, OVERLAP = 2000, 200
+MAX_SUBJECTS = 256
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +84,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each document's sentences per subject."""
+    subjects = [r["subject"] for r in table(spark, sf_dir, "subject_area").select("subject").distinct().orderBy("subject").limit(MAX_SUBJECTS).collect()]
+    return subject_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "subject_label"), subjects)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where(F.col("share") >= SHARE).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents that treat it, and sentences."""
+    rows = p8_shares(spark, sf_dir)
+    return rows.groupBy("subject").agg(F.count_if(F.col("share") >= SHARE).alias("n_docs"), F.sum(F.round(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_containers": p6_containers, "p6_report": p6_report,
-    "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition,
 }
 ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
