@@ -65,8 +65,9 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
         raise ValueError(f"more than {MAX_SOURCES} sources")
     spark = docs.sparkSession
     goal = spark.createDataFrame([tuple(r) for r in asked], "source string, target_share double, max_repeat int")
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0")
-    rows = cut(rows.join(F.broadcast(goal.select("source")), "source", "left_semi").select("key", "source", "size"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"))
+    # sizes may be costly: they are written before anything filters by them, which would evaluate them again
+    rows = cut(rows.join(F.broadcast(goal.select("source")), "source", "left_semi").select("key", "source", "size")).where("size > 0")
     supply = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     whole = sum(r["target_share"] for r in asked if r["source"] in supply) or 1.0
     weights = {r["source"]: r["target_share"] / whole for r in asked if r["source"] in supply}
