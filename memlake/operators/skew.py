@@ -113,6 +113,44 @@ def neighbour(
     return df.withColumn(out, F.col("__near")["v"]).drop("__val", "__near")
 
 
+def next_value(df: DataFrame, keys: list[str], order: str, value: Column, out: str, hot: HotKeys | None, bucket: str = "__bucket") -> DataFrame:
+    """The first non-null ``value`` of a later row of the key, in ``order`` (unique within a key)."""
+    parts = [*keys, bucket] if hot else keys
+    df = df.withColumn("__val", value)
+    later = Window.partitionBy(*parts).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(out, F.last("__val", ignorenulls=True).over(later))
+    if hot:
+        own = df.where("__val is not null").join(F.broadcast(hot.table.select(*[F.col(k).alias(f"__h_{k}") for k in keys])), _eq(keys), "left_semi")
+        first = own.groupBy(*keys, bucket).agg(F.min_by("__val", order).alias("__first"))
+        every = df.select(*keys, bucket).distinct().join(F.broadcast(hot.table.select(*[F.col(k).alias(f"__h_{k}") for k in keys])), _eq(keys), "left_semi")
+        edge = every.alias("l").join(first.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col(bucket).alias("__hb"), "__first"), _eq(keys) & (F.col(bucket) == F.col("__hb")), "left")
+        after = Window.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+        edge = edge.select(*keys, bucket, F.last("__first", ignorenulls=True).over(after).alias("__edge"))
+        edge = edge.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col(bucket).alias("__hb"), "__edge")
+        df = df.join(F.broadcast(edge), _eq(keys) & (F.col(bucket) == F.col("__hb")), "left")
+        df = df.withColumn(out, F.coalesce(out, "__edge")).drop("__hb", "__edge", *[f"__h_{k}" for k in keys])
+    return df.drop("__val")
+
+
+def positions(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` with the 0-based position of each row within its key, by numeric ``order`` and then ``ties``.
+
+    A hot key is ranked bucket by bucket; the rows in earlier buckets come from a table of counts.
+    """
+    hot = find_hot(df, keys, order, rows_per_task)
+    if hot is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)) - 1)
+    cut = hot.bucketed(df, order)
+    parts = [*keys, "__bucket"]
+    counts = cut.groupBy(*parts).agg(F.count("*").alias("__n"))
+    counts = counts.join(F.broadcast(hot.table.select(*[F.col(k).alias(f"__h_{k}") for k in keys])), _eq(keys), "left_semi")
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__bucket").alias("__hb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = cut.withColumn(out, F.row_number().over(Window.partitionBy(*parts).orderBy(order, *ties)) - 1)
+    met = inside.join(F.broadcast(counts), _eq(keys) & (F.col("__bucket") == F.col("__hb")), "left")
+    return met.withColumn(out, F.col(out) + F.coalesce("__base", F.lit(0))).drop("__bucket", "__hb", "__base", *[f"__h_{k}" for k in keys])
+
+
 def _eq(keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
