@@ -39,14 +39,12 @@ def rerank(hits: DataFrame, alpha: float = 0.6, limit: int = RERANK_LIMIT, score
     """The first ``limit`` hits of each query reordered by a blend of their score and a second one; the rest stays behind them.
 
     ``hits``: ``query_id, query, snippet, score, rank`` (rank bounds what a query gathers). ``scorer``
-    adds the column ``second`` (default: BM25 on the snippet); its scores are scaled per query. The
+    adds the column ``second`` (default: BM25 on the snippet within ``__set``); its scores are scaled per query. The
     result has the blended ``score`` and the new ``rank``.
     """
-    head = hits.where(F.col("rank") <= limit)
-    scored = scorer(head) if scorer else bm25(head, "query_id", "query", "snippet", "second")
-    scored = min_max(scored, "query_id", "second", "second")
-    scored = scored.withColumn("score", blend(F.col("score"), F.col("second"), alpha)).withColumn("__band", F.lit(0))
-    tail = hits.where(F.col("rank") > limit).withColumn("__band", F.lit(1))
-    both = scored.drop("second").unionByName(tail)
+    banded = hits.withColumn("__band", F.when(F.col("rank") <= limit, 0).otherwise(1)).withColumn("__set", F.struct("query_id", "__band"))
+    scored = scorer(banded) if scorer else bm25(banded, "__set", "query", "snippet", "second")
+    scored = min_max(scored, "__set", "second", "second")
+    scored = scored.withColumn("score", F.when(F.col("__band") == 0, blend(F.col("score"), F.col("second"), alpha)).otherwise(F.col("score")))
     order = Window.partitionBy("query_id").orderBy("__band", F.when(F.col("__band") == 0, -F.col("score")), "rank")
-    return both.withColumn("rank", F.row_number().over(order)).drop("__band")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("__band", "__set", "second")

@@ -13,6 +13,8 @@ STOP_WORDS = (
     "the", "and", "for", "with", "that", "this", "from", "have", "been",
     "will", "what", "when", "where", "which", "about", "there", "their",
 )
+# A word boundary between ASCII word characters and anything else.
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 KINDS = ("user", "agent", "tool", "brain", "memory", "system")
 
 
@@ -47,7 +49,7 @@ def topics(steps: DataFrame, most: int = 6) -> DataFrame:
     Terms are ASCII words of four letters or more as written, stop words whatever their case left out;
     equal counts rank by first occurrence, then by the term. Counts are combined before the shuffle.
     """
-    words = F.regexp_extract_all("content", F.lit(r"\b([A-Za-z][A-Za-z\-]{3,})\b"), F.lit(1))
+    words = F.regexp_extract_all("content", F.lit(rf"{_EDGE}([A-Za-z][A-Za-z\-]{{3,}}){_EDGE}"), F.lit(1))
     said = steps.where(F.col("kind").isin("user", "agent")).select("session_id", "at", "doc", "line", F.posexplode(words).alias("pos", "term"))
     said = said.where(~F.lower("term").isin(*STOP_WORDS))
     counted = said.groupBy("session_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("at", "doc", "line", "pos")).alias("first"))

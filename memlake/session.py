@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "memlake", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.unionOutputPartitioning", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -51,12 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark 4.1 loses rows where both sides of a union read the same reused exchange and the union keeps its partitioning.
+GUARDS = {"spark.sql.unionOutputPartitioning": "false"}
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of the session's executors, once per application."""
+def prepare(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of the session's executors, and applies GUARDS."""
     context = spark.sparkContext
+    for key, value in GUARDS.items():
+        spark.conf.set(key, value)
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
