@@ -51,8 +51,9 @@ def neighbors(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None
     start = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct()
     frontier = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
     found = frontier
+    hot = skew.hot_keys(steps, ["node"], rows_per_task)
     for level in range(1, depth + 1):
-        left, right, on = skew.salted(steps, frontier.select("node", "seed", "path"), ["node"], ["next"], rows_per_task)
+        left, right, on = skew.salted(steps, frontier.select("node", "seed", "path"), ["node"], ["next"], hot=hot)
         reached = left.join(right, on).select("seed", F.col("next").alias("node"), F.concat("path", F.array("edge_id")).alias("path"))
         reached = reached.groupBy("seed", "node").agg(F.min("path").alias("path"))
         frontier = cut(reached.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("depth"), "path"))
@@ -68,8 +69,9 @@ def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     seed = seeds.columns[0]
     frontier = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.array("seed").alias("seen"))
     found = None
+    hot = skew.hot_keys(steps, ["node"])
     for level in range(1, depth + 1):
-        left, right, on = skew.salted(steps, frontier, ["node"], ["edge_id"])
+        left, right, on = skew.salted(steps, frontier, ["node"], ["edge_id"], hot=hot)
         met = left.join(right, on).where(~F.array_contains("seen", F.col("next")))
         frontier = met.select("seed", F.col("next").alias("node"), F.lit(level).alias("depth"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("seen", F.array("next")).alias("seen"))
         found = frontier if found is None else found.unionByName(frontier)
@@ -85,8 +87,9 @@ def reachable(seeds: DataFrame, steps: DataFrame, most: int = 100) -> DataFrame:
     steps = cut(steps.where("node is not null and next is not null").select("node", "next").distinct())
     frontier = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     found = frontier = cut(frontier)
+    hot = skew.hot_keys(steps, ["node"])
     for level in range(1, most + 1):
-        left, right, on = skew.salted(steps, frontier.select("node", "seed"), ["node"], ["next"])
+        left, right, on = skew.salted(steps, frontier.select("node", "seed"), ["node"], ["next"], hot=hot)
         fresh = left.join(right, on).select("seed", F.col("next").alias("node")).distinct()
         frontier = cut(fresh.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():

@@ -158,6 +158,11 @@ def _eq(keys: list[str]) -> Column:
     return cond
 
 
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> list:
+    """The at most MAX_HOT keys above ``rows_per_task`` rows."""
+    return rows.groupBy(*keys).count().where(F.col("count") > rows_per_task).orderBy(F.desc("count")).limit(MAX_HOT).collect()
+
+
 def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows_per_task: int = ROWS_PER_TASK, ways: int = 64, hot: list | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of an equi-join with a salt for the keys hot on the left, and the keys to join on.
 
@@ -166,7 +171,7 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]
     Without hot keys both sides come back as they are. ``hot`` gives rows with the hot
     keys (at most MAX_HOT) where they are known already.
     """
-    top = hot if hot is not None else left.groupBy(*keys).count().where(F.col("count") > rows_per_task).orderBy(F.desc("count")).limit(MAX_HOT).collect()
+    top = hot if hot is not None else hot_keys(left, keys, rows_per_task)
     if not top:
         return left, right, keys
     hot = left.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in top], left.select(*keys).schema)
