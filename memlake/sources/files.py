@@ -21,18 +21,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, missing_ok: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False) -> DataFrame:
     """JSON lines by an explicit schema; blank lines are skipped, a malformed one fails the read."""
     if missing_ok and not exists(spark, path):
         return empty(spark, schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType, safe: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: StructType | str, safe: bool = False) -> DataFrame:
     """A JSON document per file. ``safe``: a missing or malformed one gives no row."""
     if safe and not exists(spark, path):
         return empty(spark, schema)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from memlake.sources.schemas import TRACE
 
 
-def follow(spark: SparkSession, path: str, schema: StructType = TRACE, files_per_batch: int = 100) -> DataFrame:
+def follow(spark: SparkSession, path: str, schema: StructType | str = TRACE, files_per_batch: int = 100) -> DataFrame:
     """New JSON-line files of a folder as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
