@@ -45,7 +45,7 @@ class IntervalMap:
 
 
 def merge_intervals(
-    df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int = skew.ROWS_PER_TASK
+    df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int = skew.ROWS_PER_TASK, probe: DataFrame | None = None
 ) -> DataFrame:
     """Continuous periods and gaps per entity.
 
@@ -61,12 +61,14 @@ def merge_intervals(
     interval map of the entity it is reading; state is one entity at a time. Entities
     above ``rows_per_task`` are cut into time buckets of about that size, intervals
     that start together are pre-aggregated before the shuffle, each bucket has its own
-    map, and the maps are joined at the edges by tables with one row per bucket.
+    map, and the maps are joined at the edges by tables with one row per bucket. ``probe`` may
+    name a table with ``keys`` and ``start`` that is cheaper to count than ``df`` and holds at
+    least its rows; large entities are then found in it.
     """
     rows = df.select(
         *keys, F.unix_micros(start).alias("__s"), F.coalesce(F.unix_micros(end), F.lit(OPEN)).alias("__e"), F.lit(1).cast("long").alias("__n")
     ).where("__e > __s")
-    hot = skew.find_hot(rows, keys, "__s", rows_per_task)
+    hot = skew.find_hot(rows if probe is None else probe.select(*keys, F.unix_micros(start).alias("__s")), keys, "__s", rows_per_task)
     if hot is None:
         return _maps(rows, keys, gaps=True).select(
             *keys, "kind", "start_us", F.when(F.col("end_us") < OPEN, F.col("end_us")).alias("end_us"), "n"

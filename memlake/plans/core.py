@@ -28,7 +28,7 @@ def _edges(spark: SparkSession, sf_dir: str, cardinality: str, columns: list[str
 
 def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All continuous periods and gaps per entity and relation."""
-    rows = merge_intervals(_edges(spark, sf_dir, "many", []), ["from_node", "rel"], "valid_from", "valid_to")
+    rows = merge_intervals(_edges(spark, sf_dir, "many", []), ["from_node", "rel"], "valid_from", "valid_to", probe=table(spark, sf_dir, "pg"))
     return rows.select("from_node", "rel", "kind", _ms("start_us").alias("start_ms"), F.coalesce(_ms("end_us"), F.lit(-1).cast("long")).alias("end_ms"), "n")
 
 
