@@ -39,7 +39,7 @@ class Satellite:
 
 def satellites(
     df: DataFrame, entity: str, attribute: str, value: str, start: str, end: str, recorded: str, tie: str,
-    rows_per_task: int = skew.ROWS_PER_TASK,
+    rows_per_task: int = skew.ROWS_PER_TASK, probe: DataFrame | None = None,
 ) -> Satellite:
     """Insert-only satellite rows: ``entity, attribute, value, hash_diff, load_us``.
 
@@ -52,13 +52,15 @@ def satellites(
     it, are left out; a null ``value`` is a value like any other. Null entities and
     attributes form keys of their own.
 
-    Hot keys (above ``rows_per_task`` rows) are cut into time buckets, see ``skew``.
+    Hot keys (above ``rows_per_task`` rows) are cut into time buckets, see ``skew``. ``probe`` may
+    name a table with both keys and ``start`` that is cheaper to count than ``df`` and holds at
+    least its rows; hot keys are then found in it.
     """
     keys = [entity, attribute]
     rows = df.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))).select(
         *keys, F.col(value).alias("__value"), F.unix_micros(start).alias("__s"), F.unix_micros(end).alias("__e"), F.col(recorded).alias("__r"), F.col(tie).alias("__t")
     )
-    hot = skew.find_hot(rows, keys, "__s", rows_per_task)
+    hot = skew.find_hot(rows if probe is None else probe.select(*keys, F.unix_micros(start).alias("__s")), keys, "__s", rows_per_task)
     if hot:
         rows = hot.bucketed(rows, "__s")
     parts = [*keys, "__bucket"] if hot else keys

@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _history(spark: SparkSession, sf_dir: str):
     rows = _edges(spark, sf_dir, "one", ["to_node", "recorded_at"])
-    return satellites(rows, "from_node", "rel", "to_node", "valid_from", "valid_to", "recorded_at", "id")
+    return satellites(rows, "from_node", "rel", "to_node", "valid_from", "valid_to", "recorded_at", "id", probe=table(spark, sf_dir, "pg"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
