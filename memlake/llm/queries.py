@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.llm.chunking import split_items
 from memlake.llm.mixing import mix_documents
 from memlake.llm.packing import pack_documents, packing_report
-from memlake.llm.similar import most_similar
+from memlake.llm.similar import most_similar, vector_keys
 from memlake.llm.subjects import SHARE, subject_shares
 from memlake.operators.current import current_rows, current_where
 
@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar rows of each current row's store, with their similarity."""
-    rows = current_rows(table(spark, sf_dir, "pgvector"), "id", "created_at", ["store", "vector"])
-    return most_similar(rows, "id", "store", "vector", dim=64)
+    log = table(spark, sf_dir, "pgvector")
+    rows = current_rows(log, "id", "created_at", ["store", "vector"])
+    slim = current_rows(log.withColumns(vector_keys(F.col("vector"), 64)), "id", "created_at", ["store", "k1", "k2", "usable"])
+    return most_similar(rows, "id", "store", "vector", dim=64, slim=slim)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

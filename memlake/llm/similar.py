@@ -48,6 +48,12 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
+def vector_keys(vector: Column, dim: int) -> dict[str, Column]:
+    """Columns by which equal vectors are grouped, and whether the vector takes part."""
+    v = vector.cast("array<float>")
+    return {"k1": F.xxhash64(v), "k2": F.xxhash64(F.lit(1), v), "usable": usable(v, dim)}
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
@@ -140,7 +146,7 @@ def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.nda
 
 def most_similar(
     df: DataFrame, id_col: str, store: str, vector: str, dim: int, least: float = 0.85, k: int = 10, probes: int = 3,
-    rows_per_task: int = skew.ROWS_PER_TASK,
+    rows_per_task: int = skew.ROWS_PER_TASK, slim: DataFrame | None = None,
 ) -> DataFrame:
     """Of every row the ``k`` other rows of its store most similar by cosine, at least ``least``: ``id, neighbour_id, similarity``.
 
@@ -148,10 +154,11 @@ def most_similar(
     null, of another dimension, all zero or not finite take no part. Similarities are rounded to
     DIGITS; equal ones rank by id. Rows with equal vectors are searched once and keep their k + 1
     smallest ids, all that any answer can contain. A null store is a store of its own.
+    ``slim`` may name ``df``'s rows without their vectors but with the columns of ``vector_keys``.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(store).cast("string").alias("store"), F.col(vector).cast("array<float>").alias("v"))
     rows = rows.where(usable(F.col("v"), dim))
-    keyed = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    keyed = rows.withColumns(vector_keys(F.col("v"), dim))
     index = fit_index(rows, "store", "v", "id", probes)
 
     smallest = Window.partitionBy("store", "k1", "k2").orderBy("id")
@@ -164,7 +171,9 @@ def most_similar(
     flat = F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["far"].alias("far"), i.alias("id")))))
     merged = merged.select("q", "own", F.slice(F.sort_array(flat), 1, k + 1).alias("near"))
 
-    members = keyed.select("id", "store", "k1", "k2")
+    if slim is not None:
+        slim = slim.where(F.col(id_col).isNotNull() & F.col("usable")).select(F.col(id_col).cast("string").alias("id"), F.col(store).cast("string").alias("store"), "k1", "k2")
+    members = keyed.select("id", "store", "k1", "k2") if slim is None else slim
     same = ["store", "k1", "k2"]
     firsts = members.groupBy(*same).agg(F.min("id").alias("q"), F.count("*").alias("n")).where("n > 1")
     hot = firsts.where(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(skew.MAX_HOT).collect()
