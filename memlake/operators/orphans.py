@@ -9,7 +9,10 @@ from memlake.operators import skew
 from memlake.operators.bloom import BloomFilter
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, expected: int, rows_per_task: int = skew.ROWS_PER_TASK) -> DataFrame:
+def find_orphans(
+    refs: DataFrame, parents: DataFrame, expected: int, rows_per_task: int = skew.ROWS_PER_TASK,
+    parent_keys: DataFrame | None = None, probe: DataFrame | None = None,
+) -> DataFrame:
     """Broken references, one row each: ``src_table, src_field, src_id, target, kind, period``.
 
     ``refs``: ``src_table, src_field, target_table, src_id, target, at``; null or empty
@@ -18,22 +21,26 @@ def find_orphans(refs: DataFrame, parents: DataFrame, expected: int, rows_per_ta
     ``kind`` is the first that holds of ``missing``, ``deleted``, ``late`` (``first_seen``
     after ``at``; never where either is null); ``period`` is the month of ``at`` (null if null).
 
-    A Bloom filter of the parent keys proves most missing targets without a shuffle;
-    only what passes it meets the parents in an exact join, with targets that are hot
-    among the references salted.
+    A Bloom filter of the parent keys proves most missing targets; only what passes it has a key
+    in the exact join, with targets that are hot among the references salted. ``parent_keys``
+    (``target_table, target``, repeated ones do no harm) and ``probe`` (references, at least all
+    of them) may name tables that are cheaper to read than ``parents`` and ``refs``.
     """
     refs = refs.where(F.col("target").isNotNull() & (F.col("target") != ""))
     key = F.xxhash64("target_table", "target")
-    bloom = BloomFilter.build(parents.select(key.alias("h")), "h", expected)
-    marked = refs.withColumn("__maybe", bloom.column(refs, key))
-    gone = marked.where(~F.col("__maybe")).withColumn("kind", F.lit("missing"))
-    maybe = marked.where("__maybe")
-    left, right, keys = skew.salted(maybe, parents.withColumn("__there", F.lit(True)), ["target_table", "target"], ["src_id"], rows_per_task)
+    bloom = BloomFilter.build((parent_keys if parent_keys is not None else parents).select(key.alias("h")), "h", expected)
+    counted = (probe if probe is not None else refs).where("target is not null and target <> ''")
+    hot = [r.asDict() for r in skew.hot_keys(counted, ["target_table", "target"], rows_per_task)]
+    hot = [{"in_table": r["target_table"], "in_key": r["target"]} for r in hot]
+    # a definite orphan gets a key that no parent has, and spreads by its source
+    maybe = bloom.column(refs, key)
+    marked = refs.withColumns({"in_table": F.when(maybe, F.col("target_table")).otherwise(F.lit("")), "in_key": F.when(maybe, F.col("target")).otherwise(F.col("src_id"))})
+    there = parents.select(F.col("target_table").alias("in_table"), F.col("target").alias("in_key"), "first_seen", "deleted", F.lit(True).alias("__there"))
+    left, right, keys = skew.salted(marked, there, ["in_table", "in_key"], ["src_id"], hot=hot)
     met = left.join(right, keys, "left")
     kind = F.when(F.col("__there").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first_seen") > F.col("at"), "late")
     found = met.withColumn("kind", kind).where("kind is not null")
-    columns = ["src_table", "src_field", "src_id", "target", "kind", F.date_format("at", "yyyy-MM").alias("period")]
-    return gone.select(*columns).unionByName(found.select(*columns))
+    return found.select("src_table", "src_field", "src_id", "target", "kind", F.date_format("at", "yyyy-MM").alias("period"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

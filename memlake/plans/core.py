@@ -56,7 +56,7 @@ def p4_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, DataFrame, DataFrame]:
     pg, node, atom = (table(spark, sf_dir, t) for t in ("pg", "pg_node", "atomic_index"))
     edges = current_rows(pg, "id", "recorded_at", ["to_node", "superseded_by", "recorded_at"])
     item = lambda field, to, target: F.struct(F.lit(field).alias("src_field"), F.lit(to).alias("target_table"), target.alias("target"))
@@ -64,22 +64,29 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.lit("pg").alias("src_table"), F.col("id").alias("src_id"), F.col("recorded_at").alias("at"),
         F.explode(F.filter(F.array(item("to_node", "node", F.col("to_node")), item("superseded_by", "edge", F.col("superseded_by"))), lambda x: x["target"].isNotNull())).alias("r"),
     ).select("src_table", "src_id", "at", "r.*")
-    current = current_rows(atom, "id", "indexed_at", ["crosslinks", "valid_to", "indexed_at"], first_seen="first_seen")
+    current = current_rows(atom, "id", "indexed_at", ["crosslinks", "indexed_at"])
     linked = lambda f: F.transform(F.array_distinct(F.col("crosslinks")[f]), lambda t: item(f"crosslinks.{f}", "atom", t))
     fields = F.array(linked("references"), linked("partially_superseded_by"))
     fields = F.flatten(F.filter(fields, lambda x: x.isNotNull()))
     from_atoms = current.select(F.lit("atomic_index").alias("src_table"), F.col("id").alias("src_id"), F.col("indexed_at").alias("at"), F.explode(fields).alias("r"))
     from_atoms = from_atoms.select("src_table", "src_id", "at", "r.*")
-    parents = (
-        node.where("id is not null").groupBy("id").agg(F.min("created_at").alias("first_seen"), F.max(F.col("deleted_at").isNotNull()).alias("deleted")).select(F.lit("node").alias("target_table"), F.col("id").alias("target"), "first_seen", "deleted")
-        .unionByName(pg.where("id is not null").groupBy("id").agg(F.min("recorded_at").alias("first_seen")).select(F.lit("edge").alias("target_table"), F.col("id").alias("target"), "first_seen", F.lit(False).alias("deleted")))
-        .unionByName(current.select(F.lit("atom").alias("target_table"), F.col("id").alias("target"), "first_seen", F.col("valid_to").isNotNull().alias("deleted")))
+    # one aggregation over all parents; the row of greatest order says whether it is deleted
+    listed = lambda rows, name, at, gone, order: rows.where("id is not null").select(F.lit(name).alias("target_table"), F.col("id").alias("target"), F.col(at).alias("at"), gone.alias("gone"), order.cast("long").alias("order"))
+    never = F.lit(False)
+    every = (
+        listed(node, "node", "created_at", F.col("deleted_at").isNotNull(), F.when(F.col("deleted_at").isNotNull(), 1).otherwise(0))
+        .unionByName(listed(pg, "edge", "recorded_at", never, F.lit(0)))
+        .unionByName(listed(atom, "atom", "indexed_at", F.col("valid_to").isNotNull(), F.coalesce(F.unix_micros("indexed_at"), F.lit(-(2**62)))))
     )
-    return from_edges.unionByName(from_atoms), parents, pg.count() + node.count() + atom.count()
+    parents = every.groupBy("target_table", "target").agg(F.min("at").alias("first_seen"), F.max_by("gone", "order").alias("deleted"))
+    probe = pg.select(F.lit("node").alias("target_table"), F.col("to_node").alias("target")).unionByName(pg.select(F.lit("edge").alias("target_table"), F.col("superseded_by").alias("target")))
+    probe = probe.unionByName(atom.select(F.explode(fields).alias("r")).select("r.target_table", "r.target"))
+    return from_edges.unionByName(from_atoms), parents, pg.count() + node.count() + atom.count(), every, probe
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_orphans(*_references(spark, sf_dir))
+    refs, parents, expected, keys, probe = _references(spark, sf_dir)
+    return find_orphans(refs, parents, expected, parent_keys=keys, probe=probe)
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
