@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import normalise_status, symbol_parts
+from memlake.operators import skew
 from memlake.operators.graph import reachable
 
 # The crosslinks a chain follows.
@@ -43,7 +44,8 @@ def citing_atoms(queries: DataFrame, atoms: DataFrame) -> DataFrame:
     asked = queries.select("symbol").where("symbol is not null").distinct().withColumn("q", symbol_parts(F.col("symbol"))).select("symbol", F.col("q.file").alias("file"), F.col("q.fn").alias("qfn"), F.col("q.line").alias("qline"))
     line = F.col("qline").isNull() | F.col("line").isNull() | (F.col("line") == F.col("qline"))
     fits = F.col("fn").isNull() | F.col("qfn").isNull() | ((F.col("fn") == F.col("qfn")) & line)
-    return asked.join(citations(atoms), "file").where(fits).select("symbol", "id").distinct()
+    left, right, on = skew.salted(citations(atoms), asked, ["file"], ["id"])
+    return left.join(right, on).where(fits).select("symbol", "id").distinct()
 
 
 def crosslinks(atoms: DataFrame, via: tuple[str, ...] | None = None) -> DataFrame:

@@ -49,16 +49,16 @@ def zero_filled(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     return every.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def hit_metrics(results: DataFrame, gold: DataFrame, k: int, by: str) -> DataFrame:
-    """Share of queries with a gold document first and among the first ``k``, by ``by`` and overall (null).
+def hit_metrics(results: DataFrame, queries: DataFrame, k: int, by: str) -> DataFrame:
+    """Share of queries with a right document first and among the first ``k``, by ``by`` and overall (null).
 
-    ``results``: ``query_id, doc_id, rank``; ``gold``: ``query_id, doc_id, by``, one row for each right
-    document. Queries without results count as missed. Shares are percent to two places.
+    ``results``: ``query_id, rank, right`` (boolean); ``queries``: ``query_id, by``, one row each. Queries
+    without results count as missed. Shares are percent to two places.
     """
-    found = gold.join(results.where(F.col("rank") <= k), ["query_id", "doc_id"], "left")
-    per = found.groupBy("query_id", by).agg(F.max(F.coalesce(F.col("rank") == 1, F.lit(False))).alias("at1"), F.max(F.col("rank").isNotNull()).alias("atk"))
+    hits = results.where(F.col("right") & (F.col("rank") <= k)).groupBy("query_id").agg(F.min("rank").alias("best"))
+    per = queries.join(hits, "query_id", "left")
     share = lambda c: F.floor(F.count_if(c) / F.count("*") * 10_000 + 0.5) / 100
-    return per.groupingSets([[by], []], by).agg(F.count("*").alias("n_queries"), share("at1").alias("hit_at_1"), share("atk").alias("hit_at_k"))
+    return per.groupingSets([[by], []], by).agg(F.count("*").alias("n_queries"), share(F.col("best") == 1).alias("hit_at_1"), share(F.col("best").isNotNull()).alias("hit_at_k"))
 
 
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:

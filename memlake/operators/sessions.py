@@ -68,7 +68,8 @@ def proposals(steps: DataFrame, keep: float = 0.45, weights: tuple[float, float,
     first = Window.partitionBy("session_id").orderBy("rank")
     top = top.withColumn("__r", F.row_number().over(first)).where("__r <= 5").drop("__r").withColumn("proposed_id", atomic_id("INSIGHT", F.col("term")))
     placed = skew.positions(steps.withColumn("__o", F.coalesce(F.unix_micros("at"), F.lit(0))), ["session_id"], "__o", ["doc", "line"], "__i", rows_per_task)
-    named = placed.join(top, "session_id").where(F.contains("content", F.col("proposed_id")) | F.contains("content", F.col("term")))
+    left, right, on = skew.salted(placed, top, ["session_id"], ["doc", "line"], rows_per_task)
+    named = left.join(right, on).where(F.contains("content", F.col("proposed_id")) | F.contains("content", F.col("term")))
     refs = named.groupBy("session_id", "term").agg(F.count("*").alias("refs"), F.max("__i").alias("last"))
     sizes = steps.groupBy("session_id").agg(F.count("*").alias("size"))
     met = top.join(refs, ["session_id", "term"], "left").join(sizes, "session_id")

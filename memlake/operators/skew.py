@@ -1,8 +1,9 @@
 """Hot keys: finding them under a proven bound, and splitting ordered work over time buckets.
 
-A key counts as hot when it holds more than ``R = max(rows_per_task, n / MAX_HOT)``
-rows, so there are never more than ``MAX_HOT`` hot keys, whatever the data: tables
-with one row per hot key may be collected and broadcast.
+A key counts as hot when it holds more than ``rows_per_task`` rows; of more than
+``MAX_HOT`` such keys the largest are taken, the others holding at most n / MAX_HOT rows.
+Tables with one row per hot key, or per bucket of one, are therefore bounded whatever
+the data, and may be collected and broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 MAX_HOT = 4096
 MAX_BUCKETS = 512
+MAX_TOTAL = 65_536
 ROWS_PER_TASK = 100_000
 
 
@@ -51,37 +53,28 @@ def find_hot(df: DataFrame, keys: list[str], order: str, rows_per_task: int = RO
     """The hot keys of ``df`` with quantiles of the numeric column ``order``, or None if there are none.
 
     Two aggregations with map-side combine over the key columns only; the second
-    runs over hot keys alone. What reaches the driver is bounded by MAX_HOT.
+    runs over hot keys alone. What reaches the driver is bounded by MAX_HOT keys, and the
+    buckets of all keys together by about MAX_TOTAL: beyond that, buckets hold more rows.
     """
     spark = df.sparkSession
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    over = counts.where(F.col("__n") > rows_per_task)
-    head = over.orderBy(F.desc("__n")).limit(MAX_HOT).collect()
+    head = counts.where(F.col("__n") > rows_per_task).orderBy(F.desc("__n")).limit(MAX_HOT).collect()
     if not head:
         return None
-    if len(head) == MAX_HOT:  # more keys than may be broadcast: raise the bar to n / MAX_HOT
-        bar = math.ceil(df.count() / MAX_HOT)
-        head = [r for r in head if r["__n"] > bar]
-    most = max(r["__n"] for r in head)
-    steps = min(MAX_BUCKETS, math.ceil(most / rows_per_task))
-    schema = df.select(*keys).schema.add("__n", "long", False)
-    hot = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) + (r["__n"],) for r in head], schema))
+    per = max(rows_per_task, math.ceil(sum(r["__n"] for r in head) / MAX_TOTAL))
+    size = {tuple(r[k] for k in keys): r["__n"] for r in head}
+    steps = min(MAX_BUCKETS, math.ceil(max(size.values()) / per))
     fractions = [i / steps for i in range(1, steps)]
     if not fractions:
         return None
-    right = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-    cuts = (
-        df.join(right, cond, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(order, fractions, 10_000)).alias("__cuts"))
-        .collect()
-    )
-    table = spark.createDataFrame(
-        [tuple(r[k] for k in keys) + (r["__cuts"],) for r in cuts], df.select(*keys).schema.add("__cuts", T.ArrayType(T.LongType()))
-    )
+    hot = F.broadcast(spark.createDataFrame(list(size), df.select(*[F.col(k).alias(f"__h_{k}") for k in keys]).schema))
+    cuts = df.join(hot, _eq(keys), "left_semi").groupBy(*keys).agg(F.percentile_approx(order, fractions, 10_000).alias("__cuts")).collect()
+    rows = []
+    for r in cuts:
+        key = tuple(r[k] for k in keys)
+        stride = max(1, steps // max(1, math.ceil(size[key] / per)))
+        rows.append((*key, sorted(set(r["__cuts"][stride - 1 :: stride]))))
+    table = spark.createDataFrame(rows, df.select(*keys).schema.add("__cuts", T.ArrayType(T.LongType())))
     return HotKeys(table, keys)
 
 

@@ -51,7 +51,7 @@ def p4_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per satellite: attributes split by how often they change."""
     rows = _history(spark, sf_dir).table
     rates = change_rates(rows, "from_node", "rel")
-    return rows.groupBy("rel").agg(F.count("*").alias("n_rows"), F.count("hash_diff").alias("n_versions")).join(F.broadcast(rates), "rel").select(
+    return rows.groupBy("rel").agg(F.count("*").alias("n_rows"), F.count("hash_diff").alias("n_versions")).join(rates, "rel").select(
         "satellite", "rel", "n_rows", "n_versions"
     )
 

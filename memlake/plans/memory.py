@@ -150,7 +150,7 @@ def _hits(spark, sf, k: int = 5) -> DataFrame:
         found = hits if found is None else fusion.union_hits(found, hits)
     more = rows.select(F.col("id").alias("doc_id"), F.col("source").alias("path"), "status", T.truncate(F.col("text"), 240).alias("snippet"))
     asked = queries.select("query_id", T.truncate(F.col("query"), 240).alias("query"))
-    return found.drop("rank").withColumn("score", F.round("score", 9)).join(F.broadcast(asked), "query_id").join(more, "doc_id")
+    return found.drop("rank").withColumn("score", F.round("score", 9)).join(asked, "query_id").join(more, "doc_id")
 
 
 def recall_fused(spark, sf):
@@ -174,8 +174,11 @@ def recall_metrics(spark, sf):
     found = search(queries.select(F.col("id").alias("query_id"), "vector"), rows.select(F.col("id").alias("doc_id"), "vector"), k=6, threshold=0.0)
     others = found.where("query_id <> doc_id")
     others = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    gold = queries.select(F.col("id").alias("query_id"), "source", "store").join(rows.select(F.col("id").alias("doc_id"), "source"), "source").where("query_id <> doc_id").select("query_id", "doc_id", "store")
-    return ledger.hit_metrics(others.select("query_id", "doc_id", "rank"), gold, 5, "store")
+    several = rows.groupBy("source").count().where("count > 1").select("source")
+    asked = queries.join(several, "source", "left_semi").select(F.col("id").alias("query_id"), "source", "store")
+    theirs = rows.select(F.col("id").alias("doc_id"), F.col("source").alias("theirs"))
+    judged = others.join(theirs, "doc_id").join(asked, "query_id").select("query_id", "rank", (F.col("theirs") == F.col("source")).alias("right"))
+    return ledger.hit_metrics(judged, asked, 5, "store")
 
 
 def retain_conflicts(spark, sf):

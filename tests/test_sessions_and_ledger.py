@@ -75,7 +75,7 @@ def test_percentiles(spark, rows_per_task):
 
 
 def test_hit_metrics(spark):
-    results = spark.createDataFrame([("q1", "d1", 1), ("q1", "d2", 2), ("q2", "d9", 1), ("q2", "d3", 4)], "query_id string, doc_id string, rank int")
-    gold = spark.createDataFrame([("q1", "d1", "x"), ("q2", "d3", "x"), ("q3", "d4", "y")], "query_id string, doc_id string, t string")
-    got = {r["t"]: (r["n_queries"], r["hit_at_1"], r["hit_at_k"]) for r in ledger.hit_metrics(results, gold, 5, "t").collect()}
+    results = spark.createDataFrame([("q1", 1, True), ("q1", 2, False), ("q2", 1, False), ("q2", 4, True), ("q2", 9, True), ("q3", 6, True)], "query_id string, rank int, right boolean")
+    queries = spark.createDataFrame([("q1", "x"), ("q2", "x"), ("q3", "y")], "query_id string, t string")
+    got = {r["t"]: (r["n_queries"], r["hit_at_1"], r["hit_at_k"]) for r in ledger.hit_metrics(results, queries, 5, "t").collect()}
     assert got == {"x": (2, 50.0, 100.0), "y": (1, 0.0, 0.0), None: (3, 33.33, 66.67)}
