@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
     counts = taken.groupBy("source").agg(F.count("*").alias("n_taken"), F.sum(F.when(F.col("copy_no") == 0, 1).otherwise(0)).alias("n_docs"), F.sum("size").alias("size_taken"))
     report = goal.join(counts, "source", "left").na.fill(0, ["n_taken", "n_docs", "size_taken"])
     everything = F.sum("size_taken").over(Window.partitionBy())  # one row per listed source, at most MAX_SOURCES
-    report = report.withColumn("actual_share", F.coalesce(F.col("size_taken") / everything, F.lit(0.0)))
+    report = report.withColumn("actual_share", F.coalesce(F.try_divide("size_taken", everything), F.lit(0.0)))
     return taken.withColumnRenamed("key", key).orderBy("finish", "source", key, "copy_no"), report
 
 

@@ -22,7 +22,7 @@ def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "pgvector")
     rows = current_rows(log, "id", "created_at", ["store", "vector"])
     slim = current_rows(log.withColumns(vector_keys(F.col("vector"), 64)), "id", "created_at", ["store", "k1", "k2", "usable"])
-    return most_similar(rows, "id", "store", "vector", dim=64, slim=slim)
+    return most_similar(rows, "id", "store", "vector", dim=64, slim=slim, fit_on=log)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

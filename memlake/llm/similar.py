@@ -82,13 +82,15 @@ def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int)
         return Index({}, {}, probes)
     share = min(1.0, 0.98 * SAMPLE / total)
     draw = F.pmod(F.xxhash64(salt), F.lit(1 << 20))
-    taken = rows.where(draw < int(share * (1 << 20)) + 1).select(store, vector).limit(SAMPLE).toPandas()
+    taken = rows.where(draw < int(share * (1 << 20)) + 1).select(store, vector).limit(SAMPLE).toArrow().combine_chunks()
+    owner = np.array(taken.column(0).to_pylist(), dtype=object)
+    every = taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(owner), -1)
     index = Index({}, {}, probes)
     for r in sizes:
-        mine = taken[vector][taken[store].isna() if r[store] is None else taken[store] == r[store]]
-        if len(mine) < 64:
+        mine = owner == r[store]
+        if mine.sum() < 64:
             continue
-        x = _unit(np.stack(mine.to_numpy()).astype(np.float32))
+        x = _unit(every[mine].astype(np.float32))
         lists = max(1, min(math.ceil(r["count"] / LIST_ROWS), int(MAX_LISTS * r["count"] / total), len(x) // 16))
         c = _kmeans(x, lists)
         near = np.argsort(-(x @ c.T), axis=1)[:, :probes]
@@ -144,9 +146,14 @@ def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.nda
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
 
 
+def _rows(df: DataFrame, id_col: str, store: str, vector: str, dim: int) -> DataFrame:
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(store).cast("string").alias("store"), F.col(vector).cast("array<float>").alias("v"))
+    return rows.where(usable(F.col("v"), dim))
+
+
 def most_similar(
     df: DataFrame, id_col: str, store: str, vector: str, dim: int, least: float = 0.85, k: int = 10, probes: int = 3,
-    rows_per_task: int = skew.ROWS_PER_TASK, slim: DataFrame | None = None,
+    rows_per_task: int = skew.ROWS_PER_TASK, slim: DataFrame | None = None, fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Of every row the ``k`` other rows of its store most similar by cosine, at least ``least``: ``id, neighbour_id, similarity``.
 
@@ -154,12 +161,12 @@ def most_similar(
     null, of another dimension, all zero or not finite take no part. Similarities are rounded to
     DIGITS; equal ones rank by id. Rows with equal vectors are searched once and keep their k + 1
     smallest ids, all that any answer can contain. A null store is a store of its own.
-    ``slim`` may name ``df``'s rows without their vectors but with the columns of ``vector_keys``.
+    ``slim`` may name ``df``'s rows without their vectors but with the columns of ``vector_keys``,
+    and ``fit_on`` a table cheaper to read than ``df``, on which the index is fitted.
     """
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(store).cast("string").alias("store"), F.col(vector).cast("array<float>").alias("v"))
-    rows = rows.where(usable(F.col("v"), dim))
+    rows = _rows(df, id_col, store, vector, dim)
     keyed = rows.withColumns(vector_keys(F.col("v"), dim))
-    index = fit_index(rows, "store", "v", "id", probes)
+    index = fit_index(rows if fit_on is None else _rows(fit_on, id_col, store, vector, dim), "store", "v", "id", probes)
 
     smallest = Window.partitionBy("store", "k1", "k2").orderBy("id")
     groups = keyed.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
