@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions.vectors import let
+
 # The white space characters of ECMAScript, spelled for Java's regular expressions.
 SPACE = r"[\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 INK = r"[^\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -146,8 +148,8 @@ def front_fields(x: Column) -> Column:
         F.filter(F.split(F.coalesce(front_matter(x), F.lit("")), r"\r?\n"), lambda line: line.rlike(r"^[A-Za-z_][\w-]*\s*:")),
         lambda line: F.struct(F.regexp_extract(line, r"^([A-Za-z_][\w-]*)\s*:", 1).alias("key"), F.trim(F.regexp_extract(line, r"^[A-Za-z_][\w-]*\s*:(.*)$", 1)).alias("value")),
     )
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(let(pairs, last))
 
 
 def half_up(x: Column, places: int = 2) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once: inside a lambda a column expression is evaluated for every element, a lambda's variable is not."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,8 +32,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector at length 1; all-zero vectors unchanged."""
-    length = norm(v)
-    return F.when(length == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / length))
+    scaled = lambda u, n: F.when(n == 0, F.transform(u, lambda x: x.cast("double"))).otherwise(F.transform(u, lambda x: x.cast("double") / n))
+    return let(v, lambda u: let(norm(u), lambda n: scaled(u, n)))
 
 
 def to_text(v: Column) -> Column:
@@ -41,8 +48,7 @@ def from_text(x: Column) -> Column:
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedder: SHA-256 of the lower-cased trimmed text and a block number, as unsigned 16-bit numbers scaled to [-1, 1], normalised."""
-    base = F.lower(F.trim(text))
-    block = lambda i: F.sha2(F.concat(base, F.lit("::"), i.cast("string")), 256)
-    words = lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.conv(F.substring(h, j * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535 * 2 - 1)
-    raw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((dim + 15) // 16 - 1)), lambda i: words(block(i))))
-    return l2_normalize(F.slice(raw, 1, dim))
+    blocks = lambda base: F.concat(*[F.sha2(F.concat(base, F.lit(f"::{i}")), 256) for i in range((dim + 15) // 16)])
+    number = lambda h, j: F.conv(F.substring(h, j * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535 * 2 - 1
+    raw = let(let(F.lower(F.trim(text)), blocks), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: number(h, j)))
+    return F.when(text.isNotNull(), l2_normalize(raw))

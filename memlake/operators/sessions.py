@@ -104,6 +104,6 @@ def cascade(rows: DataFrame, keys: list[str], order: str, ties: list[str], every
 
 
 def keep_strongest(rows: DataFrame, key: str, strength: str, seq: Column, columns: list[str]) -> DataFrame:
-    """Of each concept the row of greatest ``strength``; equal ones: the one that came first."""
-    best = F.max_by(F.struct(*columns, strength), F.struct(F.col(strength), -seq))
+    """Of each concept the row of greatest ``strength``; equal ones: the one that came first, then the least ``columns``."""
+    best = F.min_by(F.struct(*columns, strength), F.struct(-F.col(strength), seq, *columns))
     return rows.where(F.col(key).isNotNull() & F.col(strength).isNotNull()).groupBy(key).agg(best.alias("b")).select(key, "b.*")

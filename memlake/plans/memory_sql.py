@@ -211,7 +211,7 @@ SELECT e.session_id, CAST(length('Session ' || coalesce(e.session_id, '') || ':
     "session_cascade": """WITH d AS (SELECT session_id, coalesce(epoch_us(created_at), 0) AS tm, doc_id, length(text) AS size FROM documents WHERE session_id IS NOT NULL),
 p AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY tm, doc_id) - 1) // 5 AS fold FROM d)
 SELECT session_id, fold, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS size, min(tm) AS first, max(tm) AS last FROM p GROUP BY ALL""",
-    "strongest_titles": _WITH + "SELECT lower(title) AS key, first(id ORDER BY phase DESC, indexed_at) AS id, max(phase) AS phase FROM atoms WHERE title IS NOT NULL AND phase IS NOT NULL AND indexed_at IS NOT NULL GROUP BY lower(title)",
+    "strongest_titles": _WITH + "SELECT lower(title) AS key, first(id ORDER BY phase DESC, indexed_at, id) AS id, max(phase) AS phase FROM atoms WHERE title IS NOT NULL AND phase IS NOT NULL AND indexed_at IS NOT NULL GROUP BY lower(title)",
     "usage_by_type": "SELECT coalesce(event_type, '') AS event_type, grouping(event_type) > 0 AS grand, count(*) AS calls, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM events GROUP BY ROLLUP (event_type)",
     "value_percentiles": """WITH e AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e)
 SELECT event_type, CAST(p AS DOUBLE) AS percent, c AS value FROM r, (VALUES (50), (90), (95), (99)) t(p) WHERE i = floor(p / 100 * (n - 1))""",
