@@ -54,50 +54,61 @@ def _whole(text: str, at: int, least: int) -> int:
     return to if to > least else at
 
 
-def _attempt(text: str, count: int, limit: int, fresh: int, places: list[int], kinds: list[int]) -> list[int] | None:
-    """``count - 1`` cuts near equal-length targets, or None if some piece would have to end off a boundary or pass the limit.
+def _attempt(size: int, count: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int] | None:
+    """``count - 1`` cuts near equal-length targets, or None where that takes a weaker boundary than need be.
 
-    A piece holds at most ``limit`` characters if it is the first, else ``fresh`` new ones.
+    A piece takes up to ``fresh`` new characters (the first ``limit``); up to ``limit``, at the cost of its
+    overlap, only to reach a boundary of at least the ``wanted`` kind. A cut off any boundary is left
+    to the caller by a negative target.
     """
-    size, cuts, last = len(text), [], 0
+    cuts, last = [], 0
     slack = size / count / 3
     for i in range(1, count):
         target = size * i / count
-        lo = max(last + 1, size - (count - i) * fresh)
-        hi = min(last + (limit if i == 1 else fresh), size - 1)
-        if lo > hi:
+        least = size - (count - i) * fresh
+        soft, hard = min(last + (limit if i == 1 else fresh), size - 1), min(last + limit, size - 1)
+        if max(least, last + 1) > soft:
             return None
-        best = None
-        for a, b in ((max(lo, target - slack), min(hi, target + slack)), (lo, hi)):
-            left, right = bisect_left(places, a), bisect_right(places, b)
-            if left < right:
-                best = max(range(left, right), key=lambda j: (kinds[j] - abs(places[j] - target) / (2 * slack), -places[j]))
-                break
+
+        def strongest(a: float, b: float, kind: int) -> int | None:
+            here = [j for j in range(bisect_left(places, a), bisect_right(places, b)) if kinds[j] >= kind]
+            return max(here, key=lambda j: (kinds[j] - abs(places[j] - target) / (2 * slack), -places[j]), default=None)
+
+        low = last + 1
+        best = strongest(max(low, least, target - slack), min(soft, target + slack), wanted)
+        if best is None:
+            best = strongest(max(low, least), soft, wanted)
+        if best is None and strongest(low, soft, wanted) is not None:
+            return None
+        if best is None:
+            best = strongest(soft + 1, hard, wanted)
+        if best is None:
+            best = strongest(max(low, least, target - slack), min(soft, target + slack), WORD)
+        if best is None:
+            best = strongest(max(low, least), soft, WORD)
         if best is None:
-            # no boundary here: acceptable only if none lies within reach of the last cut at all
-            left, right = bisect_left(places, last + 1), bisect_right(places, hi)
-            if left < right:
+            if strongest(low, soft, WORD) is not None:
                 return None
-            cut = _whole(text, int(min(max(target, lo), hi)), lo)
+            last = int(min(max(target, low, least), soft))
+            cuts.append(-last)
         else:
-            cut = places[best]
-        cuts.append(cut)
-        last = cut
-    return cuts if size - last <= (limit if count == 1 else fresh) else None
+            last = places[best]
+            cuts.append(last)
+    return cuts if size - last <= limit else None
 
 
-def _greedy(text: str, limit: int, fresh: int, places: list[int], kinds: list[int]) -> list[int]:
+def _greedy(size: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int]:
     """Cuts at the last strong boundary within reach, or at the limit where there is none."""
-    cuts, last, size = [], 0, len(text)
+    cuts, last = [], 0
     while size - last > (fresh if cuts else limit):
         reach = last + (fresh if cuts else limit)
-        left, right = bisect_left(places, last + 1), bisect_right(places, reach)
-        if left < right:
-            cut = places[max(range(left, right), key=lambda j: (kinds[j] + 3 * (places[j] - last) / (reach - last), places[j]))]
+        here = range(bisect_left(places, last + 1), bisect_right(places, reach))
+        if here:
+            last = places[max(here, key=lambda j: (kinds[j] >= wanted, kinds[j] + 3 * (places[j] - last) / (reach - last), places[j]))]
+            cuts.append(last)
         else:
-            cut = _whole(text, reach, last + 1)
-        cuts.append(cut)
-        last = cut
+            last = reach
+            cuts.append(-last)
     return cuts
 
 
@@ -115,20 +126,29 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
     if size <= limit:
         return [(0, 0, size, "end")]
     places, kinds = boundaries(text)
+    wanted = {"paragraph": PARAGRAPH, "line": LINE}.get(cut_level(text, limit), WORD)
     least = 1 + -(-(size - limit) // fresh)
     for count in range(least, least + 4 + least // 2):
-        cuts = _attempt(text, count, limit, fresh, places, kinds)
+        cuts = _attempt(size, count, limit, fresh, places, kinds, wanted)
         if cuts is not None:
             break
     else:
-        cuts = _greedy(text, limit, fresh, places, kinds)
+        cuts = _greedy(size, limit, fresh, places, kinds, wanted)
     strength = dict(zip(places, kinds))
-    out, before = [], 0
-    for cut, end in zip([0, *cuts], [*cuts, size]):
-        start = max(before, cut - overlap) if cut else 0
-        if start < cut and cut:
+    out, before, last = [], 0, 0
+    exact = []
+    for cut in cuts:
+        last = cut if cut > 0 else _whole(text, -cut, last + 1)
+        exact.append(last)
+    for cut, end in zip([0, *exact], [*exact, size]):
+        start = cut
+        if cut:
+            start = max(before, cut - overlap, end - limit)
             j = bisect_left(places, start)
-            start = places[j] if start not in (0, before) and j < len(places) and places[j] < cut else _whole(text, start, max(0, start - 8)) if cut - start < overlap else start
+            if start > before and j < len(places) and places[j] < cut:
+                start = places[j]
+            elif start > before and text[start - 1 : start].strip() and start < cut:
+                start = min(cut, next((k for k in range(start, min(start + 8, cut)) if not (unicodedata.combining(text[k]) or text[k] in _JOINERS)), start))
         out.append((start, cut, end, "end" if end == size else NAMES[strength.get(end, NONE)]))
         before = cut
     return out

@@ -49,3 +49,11 @@ def test_table(spark):
     pieces = sorted(by["a", "p"], key=lambda r: r["piece_no"])
     assert "".join(r["piece"][r["n_overlap"]:] for r in pieces[::2]) == long
     assert split_items(df.limit(0), ["id"], "text").count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=4, max_size=40))
+def test_every_cut_is_at_a_paragraph_where_paragraphs_fit(lengths):
+    text = "\n\n".join("word. "[: n % 6 or 6] * (n // 6) + "x" for n in lengths)
+    assert cut_level(text, 60) == "paragraph"
+    assert {b for *_, b in split_text(text, 60, 8)} <= {"paragraph", "end"}
