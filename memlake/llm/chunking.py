@@ -54,14 +54,14 @@ def _whole(text: str, at: int, least: int) -> int:
     return to if to > least else at
 
 
-def _attempt(size: int, count: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int] | None:
+def _attempt(text: str, count: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int] | None:
     """``count - 1`` cuts near equal-length targets, or None where that takes a weaker boundary than need be.
 
     A piece takes up to ``fresh`` new characters (the first ``limit``); up to ``limit``, at the cost of its
-    overlap, only to reach a boundary of at least the ``wanted`` kind. A cut off any boundary is left
-    to the caller by a negative target.
+    overlap, only to reach a boundary of at least the ``wanted`` kind. Where there is no boundary at
+    all the cut is at the target.
     """
-    cuts, last = [], 0
+    size, cuts, last = len(text), [], 0
     slack = size / count / 3
     for i in range(1, count):
         target = size * i / count
@@ -89,26 +89,24 @@ def _attempt(size: int, count: int, limit: int, fresh: int, places: list[int], k
         if best is None:
             if strongest(low, soft, WORD) is not None:
                 return None
-            last = int(min(max(target, low, least), soft))
-            cuts.append(-last)
+            last = _whole(text, int(min(max(target, low, least), soft)), max(low, least))
         else:
             last = places[best]
-            cuts.append(last)
+        cuts.append(last)
     return cuts if size - last <= limit else None
 
 
-def _greedy(size: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int]:
+def _greedy(text: str, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int]:
     """Cuts at the last strong boundary within reach, or at the limit where there is none."""
-    cuts, last = [], 0
+    size, cuts, last = len(text), [], 0
     while size - last > (fresh if cuts else limit):
         reach = last + (fresh if cuts else limit)
         here = range(bisect_left(places, last + 1), bisect_right(places, reach))
         if here:
             last = places[max(here, key=lambda j: (kinds[j] >= wanted, kinds[j] + 3 * (places[j] - last) / (reach - last), places[j]))]
-            cuts.append(last)
         else:
-            last = reach
-            cuts.append(-last)
+            last = _whole(text, reach, last + 1)
+        cuts.append(last)
     return cuts
 
 
@@ -129,18 +127,14 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
     wanted = {"paragraph": PARAGRAPH, "line": LINE}.get(cut_level(text, limit), WORD)
     least = 1 + -(-(size - limit) // fresh)
     for count in range(least, least + 4 + least // 2):
-        cuts = _attempt(size, count, limit, fresh, places, kinds, wanted)
+        cuts = _attempt(text, count, limit, fresh, places, kinds, wanted)
         if cuts is not None:
             break
     else:
-        cuts = _greedy(size, limit, fresh, places, kinds, wanted)
+        cuts = _greedy(text, limit, fresh, places, kinds, wanted)
     strength = dict(zip(places, kinds))
-    out, before, last = [], 0, 0
-    exact = []
-    for cut in cuts:
-        last = cut if cut > 0 else _whole(text, -cut, last + 1)
-        exact.append(last)
-    for cut, end in zip([0, *exact], [*exact, size]):
+    out, before = [], 0
+    for cut, end in zip([0, *cuts], [*cuts, size]):
         start = cut
         if cut:
             start = max(before, cut - overlap, end - limit)
