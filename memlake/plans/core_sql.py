@@ -8,11 +8,11 @@ cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rec
 _PERIODS = (
     _EDGES
     + """
-iv AS (SELECT c.from_node, c.rel, epoch_ms(c.valid_from) AS s, coalesce(epoch_ms(c.valid_to), 9000000000000000) AS e
+iv AS (SELECT c.id, c.from_node, c.rel, epoch_ms(c.valid_from) AS s, coalesce(epoch_ms(c.valid_to), 9000000000000000) AS e
        FROM cur c JOIN rel_catalog r ON r.rel = c.rel AND r.cardinality = 'many'
        WHERE c.valid_from IS NOT NULL AND (c.valid_to IS NULL OR c.valid_to > c.valid_from)),
-reach AS (SELECT *, max(e) OVER (PARTITION BY from_node, rel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM iv),
-numbered AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY from_node, rel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM reach),
+reach AS (SELECT *, max(e) OVER (PARTITION BY from_node, rel ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM iv),
+numbered AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY from_node, rel ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS g FROM reach),
 per AS (SELECT from_node, rel, g, min(s) AS s, max(e) AS e, count(*) AS n FROM numbered GROUP BY ALL),
 nxt AS (SELECT *, lead(s) OVER (PARTITION BY from_node, rel ORDER BY s) AS ns FROM per)
 """
