@@ -103,19 +103,31 @@ def _rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(7).normal(size=(dim, dim)))[0].astype(np.float32)
 
 
-def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query, candidate, cosine) of rows at least ``least`` alike, by adaptive dimension scan.
-
-    Candidates come in chunks; once a query has ``k`` hits its threshold tightens to the k-th.
+def _top(q: np.ndarray, c: np.ndarray, cos: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best pairs of each query by cosine, then ``tie`` of the candidate, in order, with their ranks."""
+    order = np.lexsort((tie[c], -cos, q))
+    q, c, cos = q[order], c[order], cos[order]
+    at = np.arange(len(q))
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    rank = at - np.maximum.accumulate(np.where(first, at, 0)) if len(q) else at
+    keep = rank < k
+    return q[keep], c[keep], cos[keep], rank[keep]
+
+
+def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.ndarray, least: float, k: int, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best pairs (query, candidate, cosine) of each query at least ``least`` alike, by adaptive dimension scan.
+
+    Candidates come in chunks; once a query has ``k`` hits its threshold tightens to the k-th, and no
+    more than ``k`` hits a query are held from one chunk to the next.
     """
     dim = rot.shape[1]
     blocks = [rot[:, i : i + BLOCK] for i in range(0, dim, BLOCK)]
     norm2 = (blocks[0] ** 2).sum(1)
     bound = np.full(len(rot), 2 - 2 * least + 1e-5, dtype=np.float32)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q0 in range(0, len(queries), 512):
-        q = queries[q0 : q0 + 512]
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q0 in range(0, len(queries), 256):
+        q = queries[q0 : q0 + 256]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for c0 in range(0, len(cands), 4096):
             c = cands[c0 : c0 + 4096]
             part = norm2[q][:, None] + norm2[c][None, :] - 2 * (blocks[0][q] @ blocks[0][c].T)
@@ -133,16 +145,12 @@ def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.nda
                 d, qi, ci = d[keep], qi[keep], ci[keep]
             cos = np.round((exact[qi] * exact[ci]).sum(1), DIGITS)
             keep = cos >= least
-            hits.append((qi[keep], ci[keep], cos[keep]))
-            if c0 + 4096 < len(cands):
-                aq, ac = np.concatenate([h[0] for h in hits]), np.concatenate([h[2] for h in hits])
-                order = np.lexsort((-ac, aq))
-                aq, ac = aq[order], ac[order]
-                first = np.r_[True, aq[1:] != aq[:-1]] if len(aq) else np.zeros(0, bool)
-                rank = np.arange(len(aq)) - np.maximum.accumulate(np.where(first, np.arange(len(aq)), 0))
+            if keep.any():
+                merged = (np.concatenate(x) for x in zip(best, (qi[keep], ci[keep], cos[keep])))
+                *best, rank = _top(*merged, tie, k)
                 kth = rank == k - 1
-                bound[aq[kth]] = 2 - 2 * ac[kth] + 1e-5
-        out += hits
+                bound[best[0][kth]] = 2 - 2 * best[2][kth] + 1e-5
+        out.append(tuple(best))
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
 
 
@@ -261,20 +269,15 @@ def _search(dim: int, least: float, k: int):
             sides = [(every, every)]
         else:
             sides = [(every[block == a], every[block == b]), (every[block == b], every[block == a])]
-        parts = [_scan(rot, exact, q, c, least, k) for q, c in sides if len(q) and len(c)]
+        lead = np.array([i[0] for i in ids])
+        tie = np.argsort(np.argsort(lead, kind="stable"), kind="stable")
+        parts = [_scan(rot, exact, q, c, least, k, tie) for q, c in sides if len(q) and len(c)]
         qi, ci, cos = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, int) for i in range(3))
         if len(qi):
             both = (lists[qi][:, :, None] == lists[ci][:, None, :]).any(2) & (lists[qi] >= 0)
             first = np.where(both, lists[qi], np.iinfo(np.int32).max).min(1)
             keep = first == here
             qi, ci, cos = qi[keep], ci[keep], cos[keep]
-            lead = np.array([i[0] for i in ids])
-            order = np.lexsort((lead[ci], -cos, qi))
-            qi, ci, cos = qi[order], ci[order], cos[order]
-            start = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
-            rank = np.arange(len(qi)) - np.maximum.accumulate(np.where(start, np.arange(len(qi)), 0)) if len(qi) else qi
-            keep = rank < k
-            qi, ci, cos = qi[keep], ci[keep], cos[keep]
         own = [i for i in range(n) if len(ids[i]) > 1 and lists[i, 0] == here and a == b]
         columns = [
             [ids[i][0] for i in qi] + [ids[i][0] for i in own],

@@ -73,7 +73,22 @@ def test_scan_abandons_without_losing(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rot = x.astype(np.float32) @ similar._rotation(64)
     every = np.arange(900)
-    q, c, cos = similar._scan(rot, x, every, every, 0.85, 10)
+    q, c, cos = similar._scan(rot, x, every, every, 0.85, 10, every)
     want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.85)) if i != j}
     got = set(zip(q.tolist(), c.tolist()))
     assert len(want) > 300 and len(got & want) >= 0.99 * len(want) and np.all(cos >= 0.85)
+
+
+def test_scan_holds_only_the_best_of_a_dense_group():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + rng.normal(size=(5000, 64)) * 0.05
+    x[4000:] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    every = np.arange(5000)
+    q, c, cos = similar._scan(x.astype(np.float32) @ similar._rotation(64), x, every[:50], every, 0.85, 3, every)
+    assert len(q) == 150
+    sims = np.round(x[:50] @ x.T, 9)
+    sims[np.arange(50), np.arange(50)] = -1
+    for i in range(50):
+        want = sorted(every, key=lambda j: (-sims[i, j], j))[:3]
+        assert sorted(c[q == i].tolist()) == sorted(int(j) for j in want)
