@@ -78,23 +78,33 @@ def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     return found.drop("seen")
 
 
-def reachable(seeds: DataFrame, steps: DataFrame, most: int = 100) -> DataFrame:
+def reachable(seeds: DataFrame, steps: DataFrame, most: int = 120, stride: int = 3) -> DataFrame:
     """Everything reached from each seed over ``steps`` (``node, next``): ``seed, node, depth``, the seed at depth 0.
 
     Runs until no seed reaches anything new; cycles end by themselves. A chain longer than ``most`` is an error.
+    ``stride`` levels are joined in one plan before what is new is cut in the shared checkpoint folder;
+    only its deepest level is walked on from.
     """
     seed = seeds.columns[0]
     steps = cut(steps.where("node is not null and next is not null").select("node", "next").distinct())
-    frontier = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    found = frontier = cut(frontier)
+    start = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    found = frontier = cut(start)
     hot = skew.hot_keys(steps, ["node"])
-    for level in range(1, most + 1):
-        left, right, on = skew.salted(steps, frontier.select("node", "seed"), ["node"], ["next"], hot=hot)
-        fresh = left.join(right, on).select("seed", F.col("next").alias("node")).distinct()
-        frontier = cut(fresh.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+    for level in range(0, most, stride):
+        at, hops = frontier.select("node", "seed"), []
+        for hop in range(1, stride + 1):
+            left, right, on = skew.salted(steps, at, ["node"], ["next"], hot=hot)
+            at = left.join(right, on).select("seed", F.col("next").alias("node")).distinct()
+            hops.append(at.withColumn("depth", F.lit(level + hop)))
+        fresh = hops[0]
+        for more in hops[1:]:
+            fresh = fresh.unionByName(more)
+        fresh = fresh.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+        fresh = cut(fresh.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "depth"))
+        if fresh.isEmpty():
             return found
-        found = found.unionByName(frontier)
+        found = found.unionByName(fresh)
+        frontier = fresh.where(F.col("depth") == level + stride)
     raise ValueError(f"chain longer than {most}")
 
 

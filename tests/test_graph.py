@@ -100,3 +100,23 @@ def test_search_and_keep_first(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), (None, 0)], "k string, o int")
     assert [tuple(r) for r in atoms.keep_first(rows, "k", F.col("o")).collect()] == [("a", 1)]
     assert graph.reachable(spark.createDataFrame([], "id string"), spark.createDataFrame([], "node string, next string")).count() == 0
+
+
+@pytest.mark.parametrize("stride", [1, 2, 3])
+def test_reachable_depths(spark, stride):
+    rng = random.Random(7)
+    pairs = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(55)} | {(f"c{i}", f"c{i + 1}") for i in range(8)}
+    steps = {}
+    for a, b in pairs:
+        steps.setdefault(a, {})[b] = "e"
+    seeds = ["n1", "c0", "alone"]
+    out = graph.reachable(spark.createDataFrame([(s,) for s in seeds], "id string"), spark.createDataFrame(sorted(pairs), "node string, next string"), stride=stride).collect()
+    got = {(r["seed"], r["node"]): r["depth"] for r in out}
+    assert len(got) == len(out)
+    assert got == {(s, s): 0 for s in seeds} | {(s, n): d for s in seeds for n, (d, _) in bfs(s, steps, 60).items()}
+
+
+def test_chain_too_long(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "node string, next string")
+    with pytest.raises(ValueError, match="longer"):
+        graph.reachable(spark.createDataFrame([("0",)], "id string"), chain, most=4, stride=2)
