@@ -2,7 +2,9 @@
 
 An inverted-file index is fitted on a bounded sample and every vector is entered in its
 ``probes`` nearest lists. Two vectors meet in each list they share, so a list is scanned
-by its own entries and nothing has to be shipped a second time. Within a list the vectors
+by its own entries and nothing has to be shipped a second time. Where a dense group is cut
+over more lists than its vectors enter, the sample shows similar pairs that share no list;
+such lists become one, until at most MISSED of the sample's pairs fail to meet. Within a list the vectors
 are rotated by a random orthogonal matrix and laid out in blocks of columns; after each
 block a hypothesis test on the partial distance (scaled to all dimensions) abandons the
 candidates that can hardly come under the threshold. What survives all blocks is computed
@@ -29,18 +31,26 @@ TILE = 12_288
 MAX_STORES = 4096
 LIST_ROWS = 512
 BLOCK = 16
+#: Sampled vectors whose neighbours in the sample test the lists, and the share of those pairs that may fail to meet.
+TESTED = 8192
+MISSED = 0.001
 EPSILON = 2.1
 DIGITS = 9
 
 
 @dataclass
 class Index:
-    """Centroids per store (at most MAX_LISTS in all) and how many tiles a list's entries are cut into."""
+    """Centroids per store (at most MAX_LISTS in all), the list each belongs to and how many tiles a list's entries are cut into."""
 
     centroids: dict[str | None, np.ndarray]
+    lists: dict[str | None, np.ndarray]
     tiles: dict[str | None, np.ndarray]
     probes: int
 
+    def enter(self, store: str | None, x: np.ndarray) -> np.ndarray:
+        """The lists of the nearest centroids of each vector, each list once, filled up with -1."""
+        return _once(self.lists[store][_nearest(x, self.centroids[store], self.probes)])
+
 
 def usable(vector: Column, dim: int) -> Column:
     """Vectors of ``dim`` finite numbers that are not all zero."""
@@ -70,8 +80,50 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int) -> Index:
-    """Fits the lists on at most SAMPLE vectors, taken by a hash of ``salt``.
+def _nearest(x: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` nearest centroids of each vector, nearest first."""
+    return np.concatenate([np.argsort(-(x[i : i + 2048] @ c.T), axis=1)[:, :most] for i in range(0, len(x), 2048)])
+
+
+def _once(lists: np.ndarray) -> np.ndarray:
+    """Each row's list numbers without repetitions, in order, filled up with -1."""
+    lists = np.sort(lists, axis=1)[:, ::-1].copy()
+    lists[:, 1:][lists[:, 1:] == lists[:, :-1]] = -1
+    return lists
+
+
+def _neighbours(x: np.ndarray, tested: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows: each of ``tested`` and its ``k`` nearest others at least ``least`` alike."""
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in range(0, len(tested), 128):
+        t = tested[i : i + 128]
+        cos = x[t] @ x.T
+        cos[np.arange(len(t)), t] = -2
+        for r in np.nonzero((cos >= least).sum(1) > k)[0]:
+            cos[r, np.argpartition(-cos[r], k - 1)[k:]] = -2
+        r, c = np.nonzero(cos >= least)
+        left.append(t[r]), right.append(c)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _joined(x: np.ndarray, c: np.ndarray, probes: int, least: float, k: int, tested: int) -> np.ndarray:
+    """The list of each centroid: lists are joined, those with most lost pairs first, until at most MISSED of the sampled pairs share none."""
+    label = np.arange(len(c))
+    x = np.unique(x, axis=0)
+    left, right = _neighbours(x, np.unique(np.linspace(0, len(x) - 1, min(tested, len(x))).astype(int)), least, k)
+    near = _nearest(x, c, probes)
+    apart = ~(near[left][:, :, None] == near[right][:, None, :]).any((1, 2))
+    ends = np.sort(np.stack([near[left[apart], 0], near[right[apart], 0]]), axis=0)
+    (a, b), weight = np.unique(ends, axis=1, return_counts=True)
+    for i in np.argsort(-weight, kind="stable"):
+        if weight[label[a] != label[b]].sum() <= MISSED * len(left):
+            break
+        label[label == label[b[i]]] = label[a[i]]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int, least: float = 0.85, k: int = 10) -> Index:
+    """Fits the lists on at most SAMPLE vectors, taken by a hash of ``salt``, for searches of ``k`` neighbours at least ``least`` alike.
 
     A store gets a list for each LIST_ROWS vectors, within MAX_LISTS for all stores; the
     MAX_STORES largest stores have lists, any other store is one list.
@@ -79,13 +131,13 @@ def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int)
     sizes = rows.groupBy(store).count().where(F.col("count") > 2 * LIST_ROWS).orderBy(F.desc("count"), store).limit(MAX_STORES).collect()
     total = sum(r["count"] for r in sizes)
     if not total:
-        return Index({}, {}, probes)
+        return Index({}, {}, {}, probes)
     share = min(1.0, 0.98 * SAMPLE / total)
     draw = F.pmod(F.xxhash64(salt), F.lit(1 << 20))
     taken = rows.where(draw < int(share * (1 << 20)) + 1).select(store, vector).limit(SAMPLE).toArrow().combine_chunks()
     owner = np.array(taken.column(0).to_pylist(), dtype=object)
     every = taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(owner), -1)
-    index = Index({}, {}, probes)
+    index = Index({}, {}, {}, probes)
     for r in sizes:
         mine = owner == r[store]
         if mine.sum() < 64:
@@ -93,9 +145,11 @@ def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int)
         x = _unit(every[mine].astype(np.float32))
         lists = max(1, min(math.ceil(r["count"] / LIST_ROWS), int(MAX_LISTS * r["count"] / total), len(x) // 16))
         c = _kmeans(x, lists)
-        near = np.argsort(-(x @ c.T), axis=1)[:, :probes]
-        entries = np.bincount(near.ravel(), minlength=lists) * (r["count"] / len(x))
-        index.centroids[r[store]], index.tiles[r[store]] = c, np.ceil(entries / TILE).clip(1).astype(int)
+        index.centroids[r[store]] = c
+        index.lists[r[store]] = _joined(x, c, probes, least, k, max(64, TESTED * len(x) // len(owner)))
+        near = index.enter(r[store], x)
+        entries = np.bincount(near[near >= 0], minlength=lists) * (r["count"] / len(x))
+        index.tiles[r[store]] = np.ceil(entries / TILE).clip(1).astype(int)
     return index
 
 
@@ -134,10 +188,16 @@ def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.nda
             seen = blocks[0].shape[1]
             limit = bound[q] * (seen / dim) * (1 + EPSILON / math.sqrt(seen)) ** 2
             qi, ci = np.nonzero(part <= limit[:, None])
+            more = blocks[1:]
+            if len(qi) * 8 > part.size and more:  # dense: all columns at once cost less than pair by pair
+                part = 2 - 2 * (rot[q] @ rot[c].T)
+                part[q[:, None] == c[None, :]] = np.inf
+                most = np.minimum(bound[q], np.partition(part, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1] + 2e-5)
+                (qi, ci), more = np.nonzero(part <= most[:, None]), []
             d, qi, ci = part[qi, ci], q[qi], c[ci]
             keep = qi != ci
             d, qi, ci = d[keep], qi[keep], ci[keep]
-            for b in blocks[1:]:
+            for b in more:
                 d = d + ((b[qi] - b[ci]) ** 2).sum(1)
                 seen += b.shape[1]
                 slack = 1.0 if seen == dim else (seen / dim) * (1 + EPSILON / math.sqrt(seen)) ** 2
@@ -174,7 +234,7 @@ def most_similar(
     """
     rows = _rows(df, id_col, store, vector, dim)
     keyed = rows.withColumns(vector_keys(F.col("v"), dim))
-    index = fit_index(rows if fit_on is None else _rows(fit_on, id_col, store, vector, dim), "store", "v", "id", probes)
+    index = fit_index(rows if fit_on is None else _rows(fit_on, id_col, store, vector, dim), "store", "v", "id", probes, least, k)
 
     smallest = Window.partitionBy("store", "k1", "k2").orderBy("id")
     groups = keyed.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
@@ -218,11 +278,11 @@ def _enter(df: DataFrame, index: Index):
             wide = np.full((n, idx.probes), -1, dtype=np.int32)
             tiles = np.ones((n, idx.probes), dtype=np.int32)
             wide[:, :1] = lists
-            for s, c in idx.centroids.items():
+            for s in idx.centroids:
                 mine = np.array([o == s for o in stores])
                 if mine.any():
-                    m = min(idx.probes, len(c))
-                    wide[mine, :m] = np.argsort(-(x[mine] @ c.T), axis=1)[:, :m]
+                    near = idx.enter(s, x[mine])
+                    wide[mine, : near.shape[1]] = near
                     tiles[mine] = np.where(wide[mine] >= 0, idx.tiles[s][wide[mine]], 1)
             block = (np.abs((x * 1e6).astype(np.int64).sum(1) * 2654435761) >> 7)
             take, at, a, b, own = [], [], [], [], []

@@ -92,3 +92,24 @@ def test_scan_holds_only_the_best_of_a_dense_group():
     for i in range(50):
         want = sorted(every, key=lambda j: (-sims[i, j], j))[:3]
         assert sorted(c[q == i].tolist()) == sorted(int(j) for j in want)
+
+
+def test_dense_group_over_many_lists_keeps_recall(spark, monkeypatch):
+    """A third of the rows in one dense, not identical group of about 30 lists; the rest in small groups."""
+    monkeypatch.setattr(similar, "LIST_ROWS", 64)
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=64)
+    blob = middle / np.linalg.norm(middle) + rng.normal(size=(2000, 64)) * (0.15 / 0.87 / 64) ** 0.5
+    centres = rng.normal(size=(400, 64))
+    rest = centres[rng.integers(400, size=4000)] + rng.normal(size=(4000, 64)) * 0.3
+    x = np.concatenate([blob, rest]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cos, -1)
+    best = np.argsort(-cos, axis=1, kind="stable")[:, :10]
+    want = {(f"r{i:05}", f"r{j:05}") for i in range(len(x)) for j in best[i] if cos[i, j] >= 0.85}
+    df = spark.createDataFrame([(f"r{i:05}", "a", v.tolist(), 0.0) for i, v in enumerate(x)], SCHEMA)
+    got = {(r["id"], r["neighbour_id"]) for r in most_similar(df, "id", "store", "v", 64).collect()}
+    for part in (lambda i: i < "r02000", lambda i: i >= "r02000"):
+        there, right = {p for p in want if part(p[0])}, {p for p in got if part(p[0])}
+        assert len(there) > 15_000 and len(there & right) >= 0.99 * len(there) and len(right - there) <= 0.01 * len(there)
