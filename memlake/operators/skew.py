@@ -130,7 +130,11 @@ def positions(df: DataFrame, keys: list[str], order: str, ties: list[str], out:
 
     A hot key is ranked bucket by bucket; the rows in earlier buckets come from a table of counts.
     """
-    hot = find_hot(df, keys, order, rows_per_task)
+    return ranked(df, keys, order, ties, out, find_hot(df, keys, order, rows_per_task))
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str, hot: HotKeys | None) -> DataFrame:
+    """``positions`` with the hot keys, cut by ``order``, known already."""
     if hot is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)) - 1)
     cut = hot.bucketed(df, order)

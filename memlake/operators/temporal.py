@@ -28,8 +28,12 @@ def supersede(log: DataFrame, keys: list[str], seq: str, row_id: str, valid_from
     supersedes, at that row's ``valid_from``. The set form of replaying the log; backdated rows may
     give empty or negative validity, which no point in time meets. Null keys form keys of their own.
     """
-    hot = skew.find_hot(log, keys, seq, rows_per_task)
-    rows = hot.bucketed(log, seq) if hot else log
+    return superseded(log, keys, seq, row_id, valid_from, supersedes, skew.find_hot(log, keys, seq, rows_per_task), seq)
+
+
+def superseded(log: DataFrame, keys: list[str], seq: str, row_id: str, valid_from: str, supersedes: Column, hot: skew.HotKeys | None, cut_by: str) -> DataFrame:
+    """``supersede`` with the hot keys known already, cut by ``cut_by``, which never falls as ``seq`` grows."""
+    rows = hot.bucketed(log, cut_by) if hot else log
     closer = F.when(supersedes, F.struct(F.col(valid_from).alias("at"), F.col(row_id).alias("by")))
     rows = skew.next_value(rows, keys, seq, closer, "__close", hot)
     return rows.withColumns({"closed_at": F.col("__close")["at"], "closed_by": F.col("__close")["by"]}).drop("__close", "__bucket")

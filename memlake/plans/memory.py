@@ -9,7 +9,7 @@ from memlake.functions import predicates as P
 from memlake.functions import text as T
 from memlake.functions import vectors as V
 from memlake.operators import atoms as A
-from memlake.operators import fusion, graph, ingest, ledger, lexical, sessions, temporal
+from memlake.operators import fusion, graph, ingest, ledger, lexical, sessions, skew, temporal
 from memlake.operators.current import current_rows
 from memlake.operators.markdown import chunk_markdown
 from memlake.operators.vector_search import search
@@ -202,10 +202,12 @@ def _conflicts(spark, sf) -> DataFrame:
 
 
 def edge_supersede(spark, sf):
-    """Validity by replay: assignments supersede their predecessors of the same entity and relation."""
-    rows = _edges(spark, sf).where("recorded_at is not null").withColumn("seq", F.unix_micros("recorded_at"))
-    rows = rows.groupBy("from_node", "rel", "seq").agg(F.min(F.struct("id", "valid_from")).alias("x")).select("from_node", "rel", "seq", "x.id", "x.valid_from")
-    closed = temporal.supersede(rows, ["from_node", "rel"], "seq", "id", "valid_from", F.col("rel").isin("has_status", "owned_by", "assigned_to"))
+    """Validity by replay: assignments supersede their predecessors of the same entity and relation; edges recorded at the same time follow each other by id."""
+    rows = _edges(spark, sf).where("recorded_at is not null").select("id", "from_node", "rel", "valid_from", F.unix_micros("recorded_at").alias("at"))
+    keys = ["from_node", "rel"]
+    hot = skew.find_hot(rows, keys, "at")
+    rows = skew.ranked(rows, keys, "at", ["id"], "seq", hot)
+    closed = temporal.superseded(rows, keys, "seq", "id", "valid_from", F.col("rel").isin("has_status", "owned_by", "assigned_to"), hot, "at")
     return closed.select("id", F.coalesce(F.unix_millis("closed_at"), F.lit(-1)).alias("closed_ms"), "closed_by")
 
 

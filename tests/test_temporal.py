@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import temporal
+from memlake.plans import memory
 
 LOG = "id string, k string, seq long, vf long, sup boolean, closed_at_ string"
 
@@ -50,3 +51,20 @@ def test_closures_patches_conflicts(spark):
     closed, back = temporal.resolve_conflicts(pairs)
     assert {tuple(r) for r in closed.collect()} == {("o1", 10, "n1"), ("o2", 20, "n2"), ("o3", 20, "n2")}
     assert {tuple(r) for r in back.collect()} == {("n1", "o1", 1), ("n2", "o3", 2)}
+
+
+@pytest.mark.parametrize("rows_per_task", [12, 100_000])
+def test_edge_supersede_keeps_edges_recorded_at_the_same_time(spark, monkeypatch, rows_per_task):
+    find = memory.skew.find_hot
+    monkeypatch.setattr(memory.skew, "find_hot", lambda df, keys, order, *_: find(df, keys, order, rows_per_task))
+    rng = random.Random(7)
+    rows = [(f"e{i:03}", rng.choice("abc"), rng.choice(["owned_by", "mentions"]), datetime(2024, 1, 1 + i % 28), datetime(2024, 2, 1 + rng.randrange(9))) for i in range(120)]
+    rows += [("none", "a", "owned_by", datetime(2024, 1, 1), None)]
+    edges = spark.createDataFrame(rows, "id string, from_node string, rel string, valid_from timestamp, recorded_at timestamp")
+    monkeypatch.setattr(memory, "_edges", lambda *_: edges)
+    out = memory.edge_supersede(spark, "").collect()
+    log = sorted((r for r in rows if r[4]), key=lambda r: (r[4], r[0]))
+    want = replay([(i, (f, rel), n, vf, rel == "owned_by", "") for n, (i, f, rel, vf, _) in enumerate(log)])
+    assert sorted(r["id"] for r in out) == sorted(r[0] for r in log)
+    assert {r["id"]: r["closed_by"] for r in out if r["closed_by"]} == {i: by for i, (_, by) in want.items()}
+    assert {r["id"]: r["closed_ms"] for r in out if r["closed_by"]} == {r["id"]: r["ms"] for r in spark.createDataFrame([(i, at) for i, (at, _) in want.items()], "id string, at timestamp").selectExpr("id", "unix_millis(at) AS ms").collect()}
