@@ -14,24 +14,23 @@ def bm25(candidates: DataFrame, query_id: str, query: str, text: str, out: str =
     """``candidates`` (rows of query and document) with a BM25 score; statistics are those of the query's own candidates.
 
     Terms repeated in the query count repeatedly. Queries or texts without words, and null ones, score 0.
-    Rows are kept as they are, repeated ones too. No join: terms are folded in an array per row, and
-    document frequencies are summed over the candidates of a query, which the caller bounds.
+    Rows are kept as they are, repeated ones too. No join: the terms that query and text share are folded in
+    an array per row, each once with how often either has it, so a long query costs its length only;
+    document frequencies are counted over the candidates of a query, which the caller bounds.
     """
     per = Window.partitionBy(query_id)
     terms = F.coalesce(tokenize(F.col(query)), F.array().cast("array<string>"))
     words = F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>"))
     rows = candidates.withColumns({"__q": terms, "__d": words})
-    rows = rows.withColumn("__tf", F.transform("__q", lambda t: F.size(F.filter("__d", lambda w: w == t)).cast("double")))
-    rows = rows.withColumns({"__n": F.count("*").over(per).cast("double"), "__avg": F.avg(F.size("__d")).over(per), "__len": F.size("__d").cast("double")})
-    gathered = F.collect_list(F.struct("__q", "__tf")).over(per)
-    df = F.transform(
-        "__q",
-        lambda t: F.aggregate("__all", F.lit(0.0), lambda s, r: s + F.when(F.exists(F.zip_with(r["__q"], r["__tf"], lambda a, f: (a == t) & (f > 0)), lambda hit: hit), F.lit(1.0)).otherwise(F.lit(0.0))),
-    )
-    rows = rows.withColumn("__all", gathered).withColumn("__df", df)
-    part = lambda f, n: F.when(f > 0, F.log((F.col("__n") - n + 0.5) / (n + 0.5) + 1) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * (F.col("__len") / F.greatest(F.lit(1.0), F.col("__avg")))))).otherwise(F.lit(0.0))
-    score = F.aggregate(F.zip_with("__tf", "__df", part), F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn(out, score).drop("__q", "__d", "__tf", "__n", "__avg", "__len", "__all", "__df")
+    times = lambda words, t: F.size(F.filter(words, lambda w: w == t)).cast("double")
+    shared = F.transform(F.array_intersect("__q", "__d"), lambda t: F.struct(t.alias("t"), times("__d", t).alias("f"), times("__q", t).alias("m")))
+    rows = rows.withColumns({"__hit": shared, "__len": F.size("__d").cast("double")}).drop("__q", "__d")
+    rows = rows.withColumns({"__n": F.count("*").over(per).cast("double"), "__avg": F.avg("__len").over(per)})
+    rows = rows.withColumn("__all", F.flatten(F.collect_list(F.transform("__hit", lambda h: h["t"])).over(per)))
+    rows = rows.withColumn("__hit", F.transform("__hit", lambda h: h.withField("n", times("__all", h["t"]))))
+    part = lambda h: h["m"] * F.log((F.col("__n") - h["n"] + 0.5) / (h["n"] + 0.5) + 1) * (h["f"] * (K1 + 1)) / (h["f"] + K1 * (1 - B + B * (F.col("__len") / F.greatest(F.lit(1.0), F.col("__avg")))))
+    score = F.aggregate("__hit", F.lit(0.0), lambda s, h: s + part(h))
+    return rows.withColumn(out, score).drop("__hit", "__n", "__avg", "__len", "__all")
 
 
 def min_max(df: DataFrame, query_id: str, score: str, out: str) -> DataFrame:

@@ -149,7 +149,7 @@ def _hits(spark, sf, k: int = 5) -> DataFrame:
         hits = search(queries.drop("query"), docs.where(F.col("store") == store).drop("store"), k=k, threshold=0.1, namespace=["tenant_id"]).withColumn("source", F.lit(store))
         found = hits if found is None else fusion.union_hits(found, hits)
     more = rows.select(F.col("id").alias("doc_id"), F.col("source").alias("path"), "status", T.truncate(F.col("text"), 240).alias("snippet"))
-    asked = queries.select("query_id", T.truncate(F.col("query"), 240).alias("query"))
+    asked = queries.select("query_id", "query")
     return found.drop("rank").withColumn("score", F.round("score", 9)).join(asked, "query_id").join(more, "doc_id")
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from memlake.operators.fusion import fuse, rerank, union_hits
 from memlake.operators.lexical import bm25, min_max
+from memlake.plans import memory
 
 HITS = "query_id string, query string, doc_id string, path string, source string, status string, snippet string, score double"
 
@@ -55,3 +56,21 @@ def test_fuse_and_rerank(spark):
 def test_union_fills_missing(spark):
     a = spark.createDataFrame([(1, "x")], "query_id int, path string")
     assert union_hits(a, a.drop("path")).where("path is null").count() == 1
+
+
+def test_whole_query_text_is_scored(spark, monkeypatch):
+    """Words behind the first 240 characters of the query count; the snippet alone is cut there."""
+    near = lambda x: [1.0, x] + [0.0] * 62
+    rows = [
+        ("q-0000000000", "other", "s0", "filler " * 60 + "zebra zebra", near(0.0)), ("c1", "atomic", "s1", "a zebra here", near(0.2)),
+        ("c2", "atomic", "s2", "nothing of it", near(0.1)), ("c3", "episodic", "s3", "nothing " * 40 + "zebra", near(0.3)),
+    ]
+    rows = [(*r, "t", None, None, 1) for r in rows]
+    vectors = spark.createDataFrame(rows, "id string, store string, source string, text string, vector array<float>, tenant_id string, status string, session_id string, tokens int")
+    monkeypatch.setattr(memory, "_vectors", lambda *_: vectors)
+    scores = {r["doc_id"]: r["bm25"] for r in memory.bm25_scores(spark, "").collect()}
+    words = {"c1": 2, "c2": 3, "c3": 30}  # words of two letters or more; of c3 what the cut leaves
+    want = 2 * math.log((3 - 1 + 0.5) / (1 + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * words["c1"] / (sum(words.values()) / 3)))
+    assert scores == {"c1": pytest.approx(want, abs=1e-6), "c2": 0.0, "c3": 0.0}
+    ranked = {r["doc_id"]: r["rank"] for r in memory.recall_reranked(spark, "").collect()}
+    assert ranked == {"c1": 1, "c2": 2, "c3": 3}
