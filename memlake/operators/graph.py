@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.operators import skew
 from memlake.session import cut
 
+# Rounds after which what was found so far becomes one table again.
+ROUNDS = 16
+
 
 def fold_nodes(log: DataFrame, seq: str) -> DataFrame:
     """Nodes from their upserts: union of labels, properties merged key by key, the latest non-null wins.
@@ -78,10 +83,11 @@ def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     return found.drop("seen")
 
 
-def reachable(seeds: DataFrame, steps: DataFrame, most: int = 120, stride: int = 3) -> DataFrame:
+def reachable(seeds: DataFrame, steps: DataFrame, most: int | None = None, stride: int = 3) -> DataFrame:
     """Everything reached from each seed over ``steps`` (``node, next``): ``seed, node, depth``, the seed at depth 0.
 
-    Runs until no seed reaches anything new; cycles end by themselves. A chain longer than ``most`` is an error.
+    Runs until no seed reaches anything new, which every level must; cycles end by themselves. Where ``most`` is
+    given, a chain longer than that is an error.
     ``stride`` levels are joined in one plan before what is new is cut in the shared checkpoint folder;
     only its deepest level is walked on from.
     """
@@ -90,7 +96,7 @@ def reachable(seeds: DataFrame, steps: DataFrame, most: int = 120, stride: int =
     start = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     found = frontier = cut(start)
     hot = skew.hot_keys(steps, ["node"])
-    for level in range(0, most, stride):
+    for level in count(0, stride) if most is None else range(0, most, stride):
         at, hops = frontier.select("node", "seed"), []
         for hop in range(1, stride + 1):
             left, right, on = skew.salted(steps, at, ["node"], ["next"], hot=hot)
@@ -104,6 +110,8 @@ def reachable(seeds: DataFrame, steps: DataFrame, most: int = 120, stride: int =
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh)
+        if level // stride % ROUNDS == ROUNDS - 1:
+            found = cut(found)
         frontier = fresh.where(F.col("depth") == level + stride)
     raise ValueError(f"chain longer than {most}")
 

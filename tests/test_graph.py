@@ -120,3 +120,9 @@ def test_chain_too_long(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "node string, next string")
     with pytest.raises(ValueError, match="longer"):
         graph.reachable(spark.createDataFrame([("0",)], "id string"), chain, most=4, stride=2)
+
+
+def test_long_chain_is_walked_to_its_end(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(140)], "node string, next string")
+    out = graph.reachable(spark.createDataFrame([("0",)], "id string"), chain, stride=8).collect()
+    assert sorted((int(r["node"]), r["depth"]) for r in out) == [(i, i) for i in range(141)]
