@@ -1,14 +1,16 @@
-"""The most similar vectors of every vector: inverted lists scanned adaptively by dimension.
-
-An inverted-file index is fitted on a bounded sample and every vector is entered in its
-``probes`` nearest lists. Two vectors meet in each list they share, so a list is scanned
-by its own entries and nothing has to be shipped a second time. Where a dense group is cut
-over more lists than its vectors enter, the sample shows similar pairs that share no list;
-such lists become one, until at most MISSED of the sample's pairs fail to meet. Within a list the vectors
-are rotated by a random orthogonal matrix and laid out in blocks of columns; after each
-block a hypothesis test on the partial distance (scaled to all dimensions) abandons the
-candidates that can hardly come under the threshold. What survives all blocks is computed
-exactly from the original numbers.
+"""The most similar vectors of every vector: cells and lists scanned adaptively by dimension.
+
+Two levels. Cells: k-means centroids fitted on a bounded sample, in number proportional to the rows;
+every vector is shipped to the ``probes`` nearest cells of its store, and two vectors meet in each
+cell they share. Lists: each task cuts its cell into lists of about LIST_ROWS and looks for a vector in
+the lists nearest to it, so that the work of a row does not grow with its cell. How many are probed
+is tested, not assumed: of cells with a bounded set of vectors searched exactly among all rows, of
+lists with vectors of the cell searched exactly in it; probes are added until few (MISSED_BY_*) of the
+true hits get lost, and cells whose pairs the most probes still lose are joined. Within the probed lists
+the vectors are rotated by a random orthogonal matrix and laid out in blocks of columns; after each
+block a hypothesis test on the partial distance (scaled to all dimensions) abandons the candidates
+that can hardly come under the threshold. What survives all blocks is computed exactly from the
+original numbers.
 """
 
 from __future__ import annotations
@@ -24,32 +26,57 @@ from pyspark.sql import functions as F
 
 from memlake.operators import skew
 
-#: Bounds: sampled vectors, lists in all, entries of a list compared in one task, stores that get lists of their own.
-SAMPLE = 65_536
-MAX_LISTS = 4096
-TILE = 12_288
-MAX_STORES = 4096
-LIST_ROWS = 512
+#: Vectors a cell is fitted for, and cells at most: the bound of what is broadcast (with 64 numbers 4 MB).
+#: Above CELL_ROWS * MAX_CELLS rows (134 million) cells hold more, and are cut into more lists.
+CELL_ROWS = 8192
+MAX_CELLS = 16_384
+#: Sampled vectors a centroid is fitted on; the sample has at least LEAST_SAMPLE, at most PER_CENTROID * MAX_CELLS.
+PER_CENTROID = 16
+LEAST_SAMPLE = 16_384
+#: Vectors of a list within a cell, and entries of a cell that one task holds (about 0.7 kB each); larger cells become tiles.
+LIST_ROWS = 64
+TILE = 131_072
 BLOCK = 16
-#: Sampled vectors whose neighbours in the sample test the lists, and the share of those pairs that may fail to meet.
-TESTED = 8192
-MISSED = 0.001
+#: Vectors searched exactly to test the cells, and within each cell its lists; the shares of true hits that may get lost by either.
+TESTED = 1024
+TESTED_IN_CELL = 512
+MISSED_BY_CELLS = 0.005
+MISSED_BY_LISTS = 0.001
+LEAST_PROBES, MOST_PROBES = 2, 3
+#: Lists of a cell a vector may stand in.
+MOST_SHARED = 8
 EPSILON = 2.1
 DIGITS = 9
 
 
 @dataclass
 class Index:
-    """Centroids per store (at most MAX_LISTS in all), the list each belongs to and how many tiles a list's entries are cut into."""
+    """Centroids by level (a level has twice those of the one below), the cell of each centroid, and the level of each store.
 
-    centroids: dict[str | None, np.ndarray]
-    lists: dict[str | None, np.ndarray]
-    tiles: dict[str | None, np.ndarray]
+    Stores without an entry are one cell. ``tiles``: how many blocks the entries of a large cell are cut into.
+    At most 2 * MAX_CELLS centroids and MAX_CELLS stores and tiles, whatever the data.
+    """
+
+    books: dict[int, np.ndarray]
+    cells: dict[int, np.ndarray]
+    levels: dict[str | None, int]
+    tiles: dict[tuple[str | None, int], int]
     probes: int
 
-    def enter(self, store: str | None, x: np.ndarray) -> np.ndarray:
-        """The lists of the nearest centroids of each vector, each list once, filled up with -1."""
-        return _once(self.lists[store][_nearest(x, self.centroids[store], self.probes)])
+    def enter(self, level: int, x: np.ndarray, probes: int | None = None) -> np.ndarray:
+        """The cells of the nearest centroids of each vector, nearest first, each once, filled up with -1."""
+        if not level:
+            return np.zeros((len(x), 1), dtype=np.int64)
+        return _once(self.cells[level][_nearest(x, self.books[level], probes or self.probes)])
+
+    def entries(self, levels: np.ndarray, x: np.ndarray, probes: int | None = None) -> np.ndarray:
+        """``enter`` for vectors of several levels."""
+        wide = np.full((len(x), probes or self.probes), -1, dtype=np.int64)
+        for level in np.unique(levels):
+            mine = levels == level
+            near = self.enter(int(level), x[mine], probes)
+            wide[np.nonzero(mine)[0], : near.shape[1]] = near
+        return wide
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -69,10 +96,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means from evenly spaced rows of ``x`` (rows come in hash order)."""
+    """Spherical k-means from evenly spaced rows of ``x`` (rows come in no order)."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
+        near = _nearest(x, c, 1)[:, 0]
         order = np.argsort(near, kind="stable")
         found, first = np.unique(near[order], return_index=True)
         c[found] = np.add.reduceat(x[order], first, axis=0)
@@ -82,77 +109,144 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 def _nearest(x: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` nearest centroids of each vector, nearest first."""
-    return np.concatenate([np.argsort(-(x[i : i + 2048] @ c.T), axis=1)[:, :most] for i in range(0, len(x), 2048)])
+    most = min(most, len(c))
+    out = np.empty((len(x), most), dtype=np.int64)
+    step = max(64, 2**22 // len(c))
+    for i in range(0, len(x), step):
+        far = -(x[i : i + step] @ c.T)
+        if most == 1:
+            out[i : i + step, 0] = far.argmin(1)
+            continue
+        some = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(c) else np.broadcast_to(np.arange(len(c)), far.shape)
+        out[i : i + step] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1), axis=1)
+    return out
 
 
-def _once(lists: np.ndarray) -> np.ndarray:
-    """Each row's list numbers without repetitions, in order, filled up with -1."""
-    lists = np.sort(lists, axis=1)[:, ::-1].copy()
-    lists[:, 1:][lists[:, 1:] == lists[:, :-1]] = -1
-    return lists
+def _once(cells: np.ndarray) -> np.ndarray:
+    """Each row's cells without repetitions, the first occurrence kept, -1 for the others."""
+    cells = cells.copy()
+    for j in range(1, cells.shape[1]):
+        cells[(cells[:, :j] == cells[:, j : j + 1]).any(1), j] = -1
+    return cells
 
 
-def _neighbours(x: np.ndarray, tested: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows: each of ``tested`` and its ``k`` nearest others at least ``least`` alike."""
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    for i in range(0, len(tested), 128):
-        t = tested[i : i + 128]
-        cos = x[t] @ x.T
-        cos[np.arange(len(t)), t] = -2
-        for r in np.nonzero((cos >= least).sum(1) > k)[0]:
-            cos[r, np.argpartition(-cos[r], k - 1)[k:]] = -2
-        r, c = np.nonzero(cos >= least)
-        left.append(t[r]), right.append(c)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _joined(x: np.ndarray, c: np.ndarray, probes: int, least: float, k: int, tested: int) -> np.ndarray:
-    """The list of each centroid: lists are joined, those with most lost pairs first, until at most MISSED of the sampled pairs share none."""
-    label = np.arange(len(c))
-    x = np.unique(x, axis=0)
-    left, right = _neighbours(x, np.unique(np.linspace(0, len(x) - 1, min(tested, len(x))).astype(int)), least, k)
-    near = _nearest(x, c, probes)
-    apart = ~(near[left][:, :, None] == near[right][:, None, :]).any((1, 2))
-    ends = np.sort(np.stack([near[left[apart], 0], near[right[apart], 0]]), axis=0)
-    (a, b), weight = np.unique(ends, axis=1, return_counts=True)
-    for i in np.argsort(-weight, kind="stable"):
-        if weight[label[a] != label[b]].sum() <= MISSED * len(left):
-            break
-        label[label == label[b[i]]] = label[a[i]]
-    return np.unique(label, return_inverse=True)[1]
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Do the rows of two tables of cells share one?"""
+    return ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any((1, 2))
+
 
+def _share_drawn(rows: DataFrame, share: float) -> DataFrame:
+    """About that share of the distinct vectors, by hash of the vector: copies are drawn together."""
+    return rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1)
 
-def fit_index(rows: DataFrame, store: str, vector: str, salt: str, probes: int, least: float = 0.85, k: int = 10) -> Index:
-    """Fits the lists on at most SAMPLE vectors, taken by a hash of ``salt``, for searches of ``k`` neighbours at least ``least`` alike.
 
-    A store gets a list for each LIST_ROWS vectors, within MAX_LISTS for all stores; the
-    MAX_STORES largest stores have lists, any other store is one list.
+def fit_index(rows: DataFrame, dim: int, least: float = 0.85, k: int = 10) -> Index:
+    """Fits the cells for searches of ``k`` neighbours at least ``least`` alike among ``rows`` (``store, v``).
+
+    Centroids come from a sample of bounded size. A store above CELL_ROWS rows gets the level whose centroids are one
+    for at most that many of its rows; the test searches TESTED sampled vectors exactly in all rows.
     """
-    sizes = rows.groupBy(store).count().where(F.col("count") > 2 * LIST_ROWS).orderBy(F.desc("count"), store).limit(MAX_STORES).collect()
-    total = sum(r["count"] for r in sizes)
+    sizes = {r["store"]: r["count"] for r in rows.groupBy("store").count().where(F.col("count") > CELL_ROWS).orderBy(F.desc("count"), "store").limit(MAX_CELLS).collect()}
+    total = sum(sizes.values())
     if not total:
-        return Index({}, {}, {}, probes)
-    share = min(1.0, 0.98 * SAMPLE / total)
-    draw = F.pmod(F.xxhash64(salt), F.lit(1 << 20))
-    taken = rows.where(draw < int(share * (1 << 20)) + 1).select(store, vector).limit(SAMPLE).toArrow().combine_chunks()
-    owner = np.array(taken.column(0).to_pylist(), dtype=object)
-    every = taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(owner), -1)
-    index = Index({}, {}, {}, probes)
-    for r in sizes:
-        mine = owner == r[store]
-        if mine.sum() < 64:
-            continue
-        x = _unit(every[mine].astype(np.float32))
-        lists = max(1, min(math.ceil(r["count"] / LIST_ROWS), int(MAX_LISTS * r["count"] / total), len(x) // 16))
-        c = _kmeans(x, lists)
-        index.centroids[r[store]] = c
-        index.lists[r[store]] = _joined(x, c, probes, least, k, max(64, TESTED * len(x) // len(owner)))
-        near = index.enter(r[store], x)
-        entries = np.bincount(near[near >= 0], minlength=lists) * (r["count"] / len(x))
-        index.tiles[r[store]] = np.ceil(entries / TILE).clip(1).astype(int)
+        return Index({}, {}, {}, {}, 1)
+    per = max(CELL_ROWS, total / MAX_CELLS)
+    levels = {s: math.ceil(math.log2(n / per)) for s, n in sizes.items() if n > per}
+    index = Index({}, {}, levels, {}, MOST_PROBES)
+    if not levels:
+        return index
+    most = min(PER_CENTROID * MAX_CELLS, max(LEAST_SAMPLE, PER_CENTROID * 2 ** max(levels.values())))
+    drawn = _share_drawn(rows.where(F.col("store").isin([s for s in levels if s is not None]) | (F.col("store").isNull() if None in levels else F.lit(False))), min(1.0, most / total))
+    taken = drawn.select("store", "v").limit(2 * most).toArrow().combine_chunks()
+    stores = np.array(taken.column(0).to_pylist(), dtype=object)
+    x = _unit(taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(stores), dim).astype(np.float32))
+    x, first = np.unique(x, axis=0, return_index=True)
+    shuffled = np.random.default_rng(3).permutation(len(x))
+    x, stores = x[shuffled], stores[first][shuffled]
+    for level in sorted(set(levels.values())):
+        index.books[level] = _kmeans(x, min(2**level, len(x)))
+        index.cells[level] = np.arange(len(index.books[level]))
+    _test(rows, index, x[:TESTED], stores[:TESTED], least, k)
+    mine = np.array([levels[s] for s in stores])
+    wide = index.entries(mine, x)
+    r, c = np.nonzero(wide >= 0)
+    codes = {s: i for i, s in enumerate(levels)}
+    at, seen = np.unique(np.array([codes[s] for s in stores])[r] * np.int64(2 * MAX_CELLS) + wide[r, c], return_counts=True)
+    names = list(levels)
+    for key, n in zip(at, seen * (total / max(1, len(x)))):
+        if n > TILE:
+            index.tiles[names[key // (2 * MAX_CELLS)], int(key % (2 * MAX_CELLS))] = math.ceil(n / TILE)
     return index
 
 
+def _test(rows: DataFrame, index: Index, x: np.ndarray, stores: np.ndarray, least: float, k: int) -> None:
+    """Sets the probes of ``index``, and joins cells, by the true hits of ``x`` among all ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast((index, x, stores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx, q, owner = shared.value
+        code = {s: i for i, s in enumerate(dict.fromkeys(owner))}
+        mine = np.array([code[s] for s in owner])
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, MOST_PROBES), np.int64))]
+        for batch in batches:
+            level, theirs = _of_stores(batch.column(0), idx, code)
+            v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32))
+            cos = q @ v.T
+            # equal vectors share every cell and tell nothing
+            qi, ci = np.nonzero((cos >= least) & (cos < 1 - 1e-6) & (mine[:, None] == theirs[None, :]))
+            if not len(qi):
+                continue
+            kept.append((qi, cos[qi, ci].astype(float), idx.entries(level[ci], v[ci], MOST_PROBES)))
+            if sum(len(p[0]) for p in kept) > 50_000:
+                kept = [_firsts(*(np.concatenate(p) for p in zip(*kept)), k)]
+        qi, cos, near = _firsts(*(np.concatenate(p) for p in zip(*kept)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(qi.astype(np.int32)), pa.array(-cos), pa.array(near.tolist(), pa.list_(pa.int64()))], names=["q", "far", "near"])
+
+    hits = rows.select("store", "v").mapInArrow(run, "q int, far double, near array<long>").distinct()
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("far", "near"))).where(F.col("r") <= k).select("q", "near").toArrow()
+    q = hits.column("q").to_numpy()
+    if not len(q):
+        index.probes = LEAST_PROBES + 1
+        return
+    theirs = np.array(hits.column("near").to_pylist(), dtype=np.int64)
+    own = np.array([index.levels[s] for s in stores])
+    ours = index.entries(own, x, MOST_PROBES)[q]
+    for probes in range(LEAST_PROBES, MOST_PROBES + 1):
+        index.probes = probes
+        lost = ~_meet(ours[:, :probes], theirs[:, :probes])
+        if lost.sum() <= MISSED_BY_CELLS * len(q):
+            return
+    for level in np.unique(own[q[lost]]):
+        at = lost & (own[q] == level)
+        index.cells[level] = _joined(len(index.books[level]), ours[at, 0], theirs[at, 0], MISSED_BY_CELLS * (own[q] == level).sum())
+
+
+def _firsts(q: np.ndarray, cos: np.ndarray, near: np.ndarray, k: int):
+    """The ``k`` most similar hits of each query."""
+    q, c, cos, _ = _top(q, np.arange(len(q)), cos, np.arange(len(q)), k)
+    return q, cos, near[c]
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray, may: float) -> np.ndarray:
+    """The cell of each of ``n`` centroids: cells are joined, those with most lost pairs first, until at most ``may`` pairs stay apart."""
+    label = np.arange(n)
+    (a, b), weight = np.unique(np.sort(np.stack([a, b]), axis=0), axis=1, return_counts=True)
+    for i in np.argsort(-weight, kind="stable"):
+        if label[a[i]] != label[b[i]]:
+            if weight[label[a] != label[b]].sum() <= may:
+                break
+            label[label == label[b[i]]] = label[a[i]]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def _of_stores(column: pa.Array, index: Index, code: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each row's store and its number in ``code`` (-1 if it has none), looked up once per store of the batch."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    of = lambda table, none: np.array([table.get(s, none) for s in names], dtype=np.int64)[at]
+    return of(index.levels, 0), of(code, -1)
+
+
 def _rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(7).normal(size=(dim, dim)))[0].astype(np.float32)
 
@@ -168,33 +262,44 @@ def _top(q: np.ndarray, c: np.ndarray, cos: np.ndarray, tie: np.ndarray, k: int)
     return q[keep], c[keep], cos[keep], rank[keep]
 
 
-def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.ndarray, least: float, k: int, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.ndarray, least: float, k: int, tie: np.ndarray, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best pairs (query, candidate, cosine) of each query at least ``least`` alike, by adaptive dimension scan.
 
-    Candidates come in chunks; once a query has ``k`` hits its threshold tightens to the k-th, and no
-    more than ``k`` hits a query are held from one chunk to the next.
+    Candidates come in chunks; once a query has ``k`` hits its threshold tightens to the k-th, in ``bound``
+    (squared distances, one per vector) too, and no more than ``k`` hits a query are held from one chunk to the next.
     """
     dim = rot.shape[1]
     blocks = [rot[:, i : i + BLOCK] for i in range(0, dim, BLOCK)]
-    norm2 = (blocks[0] ** 2).sum(1)
-    bound = np.full(len(rot), 2 - 2 * least + 1e-5, dtype=np.float32)
+    if bound is None:
+        bound = np.full(len(rot), 2 - 2 * least + 1e-5, dtype=np.float32)
+    # squared partial distances of the first block less what is allowed, by one matrix product
+    head = blocks[0]
+    seen = head.shape[1]
+
+    def beside(at: np.ndarray, scale: float, last: float | np.ndarray, norm_first: bool) -> np.ndarray:
+        mine = head[at]
+        norm = (mine**2).sum(1, keepdims=True)
+        one = np.ones_like(norm)
+        return np.concatenate([scale * mine, norm if norm_first else one, one if norm_first else norm - last], axis=1)
+
+    first_slack = np.float32((seen / dim) * (1 + EPSILON / math.sqrt(seen)) ** 2)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q0 in range(0, len(queries), 256):
-        q = queries[q0 : q0 + 256]
+    for q0 in range(0, len(queries), 1024):
+        q = queries[q0 : q0 + 1024]
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for c0 in range(0, len(cands), 4096):
             c = cands[c0 : c0 + 4096]
-            part = norm2[q][:, None] + norm2[c][None, :] - 2 * (blocks[0][q] @ blocks[0][c].T)
-            seen = blocks[0].shape[1]
-            limit = bound[q] * (seen / dim) * (1 + EPSILON / math.sqrt(seen)) ** 2
-            qi, ci = np.nonzero(part <= limit[:, None])
+            seen = head.shape[1]
+            limit = bound[q][:, None] * first_slack
+            part = beside(q, 1, limit, False) @ beside(c, -2, 0, True).T
+            qi, ci = np.divmod(np.flatnonzero(part <= 0), len(c))
             more = blocks[1:]
             if len(qi) * 8 > part.size and more:  # dense: all columns at once cost less than pair by pair
                 part = 2 - 2 * (rot[q] @ rot[c].T)
                 part[q[:, None] == c[None, :]] = np.inf
                 most = np.minimum(bound[q], np.partition(part, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1] + 2e-5)
                 (qi, ci), more = np.nonzero(part <= most[:, None]), []
-            d, qi, ci = part[qi, ci], q[qi], c[ci]
+            d, qi, ci = part[qi, ci] + (limit[qi, 0] if more else 0), q[qi], c[ci]
             keep = qi != ci
             d, qi, ci = d[keep], qi[keep], ci[keep]
             for b in more:
@@ -203,24 +308,62 @@ def _scan(rot: np.ndarray, exact: np.ndarray, queries: np.ndarray, cands: np.nda
                 slack = 1.0 if seen == dim else (seen / dim) * (1 + EPSILON / math.sqrt(seen)) ** 2
                 keep = d <= bound[qi] * slack + 1e-5
                 d, qi, ci = d[keep], qi[keep], ci[keep]
-            cos = np.round((exact[qi] * exact[ci]).sum(1), DIGITS)
+            cos = np.round((exact[qi].astype(np.float64) * exact[ci]).sum(1), DIGITS)
             keep = cos >= least
             if keep.any():
                 merged = (np.concatenate(x) for x in zip(best, (qi[keep], ci[keep], cos[keep])))
                 *best, rank = _top(*merged, tie, k)
                 kth = rank == k - 1
-                bound[best[0][kth]] = 2 - 2 * best[2][kth] + 1e-5
+                bound[best[0][kth]] = np.minimum(bound[best[0][kth]], 2 - 2 * best[2][kth] + 1e-5)
         out.append(tuple(best))
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
 
 
+def _lists(x: np.ndarray, least: float, k: int) -> tuple[np.ndarray, int, int]:
+    """The lists nearest to each vector of a cell, how many of them it stands in, and in how many it looks.
+
+    Tested on vectors of the cell that are searched exactly in it: at most MISSED_BY_LISTS of their true hits may get lost.
+    Vectors stand and look in equally many lists, or, where that costs less, as in a dense group, stand in one and look in many.
+    """
+    n = len(x)
+    lists = n // LIST_ROWS
+    if lists < 3:
+        return np.zeros((n, 1), dtype=np.int64), 1, 1
+    spaced = np.unique(np.linspace(0, n - 1, min(n, PER_CENTROID * lists)).astype(int))
+    c = _kmeans(x[spaced], lists, 4)
+    near = _nearest(x, c, min(lists, MOST_SHARED))
+    tested = np.unique(np.linspace(0, n - 1, min(n, TESTED_IN_CELL)).astype(int))
+    order = np.argsort(-(x[tested] @ c.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(lists)[None, :], axis=1)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(tested), 64):
+        t = tested[i : i + 64]
+        cos = x[t] @ x.T
+        cos[np.arange(len(t)), t] = -2
+        for r in np.nonzero((cos >= least).sum(1) > k)[0]:
+            cos[r, np.argpartition(-cos[r], k - 1)[k:]] = -2
+        r, hit = np.nonzero(cos >= least)
+        left.append(i + r), right.append(hit)
+    left, right = np.concatenate(left), np.concatenate(right)
+    may = int(MISSED_BY_LISTS * len(left))
+    needed = np.sort(place[left, near[right, 0]])
+    look = 3 if not len(left) else int(needed[len(left) - 1 - may]) + 1
+    for p in range(2, near.shape[1] + 1):
+        if p * p >= look:
+            break
+        if (~_meet(near[tested[left], :p], near[right, :p])).sum() <= may:
+            return near[:, :p], p, p
+    return _nearest(x, c, look), 1, look
+
+
 def _rows(df: DataFrame, id_col: str, store: str, vector: str, dim: int) -> DataFrame:
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(store).cast("string").alias("store"), F.col(vector).cast("array<float>").alias("v"))
     return rows.where(usable(F.col("v"), dim))
 
 
 def most_similar(
-    df: DataFrame, id_col: str, store: str, vector: str, dim: int, least: float = 0.85, k: int = 10, probes: int = 3,
+    df: DataFrame, id_col: str, store: str, vector: str, dim: int, least: float = 0.85, k: int = 10,
     rows_per_task: int = skew.ROWS_PER_TASK, slim: DataFrame | None = None, fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Of every row the ``k`` other rows of its store most similar by cosine, at least ``least``: ``id, neighbour_id, similarity``.
@@ -234,14 +377,14 @@ def most_similar(
     """
     rows = _rows(df, id_col, store, vector, dim)
     keyed = rows.withColumns(vector_keys(F.col("v"), dim))
-    index = fit_index(rows if fit_on is None else _rows(fit_on, id_col, store, vector, dim), "store", "v", "id", probes, least, k)
+    index = fit_index(rows if fit_on is None else _rows(fit_on, id_col, store, vector, dim), dim, least, k)
 
     smallest = Window.partitionBy("store", "k1", "k2").orderBy("id")
     groups = keyed.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
     groups = groups.groupBy("store", "k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
 
-    entries = groups.select("store", "ids", "v").mapInArrow(_enter(rows, index), "store string, list int, a int, b int, block int, lists array<int>, ids array<string>, v array<float>")
-    found = entries.groupBy("store", "list", "a", "b").applyInArrow(_search(dim, least, k), "q string, own boolean, ids array<string>, far double")
+    entries = groups.select("store", "ids", "v").mapInArrow(_enter(rows, index), "store string, cell int, a int, b int, block int, cells array<int>, ids array<string>, v array<float>")
+    found = entries.groupBy("store", "cell", "a", "b").applyInArrow(_search(dim, least, k), "q string, own boolean, ids array<string>, far double")
     merged = found.groupBy("q").agg(F.max("own").alias("own"), F.collect_list(F.struct("far", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["far"].alias("far"), i.alias("id")))))
     merged = merged.select("q", "own", F.slice(F.sort_array(flat), 1, k + 1).alias("near"))
@@ -262,89 +405,97 @@ def most_similar(
 
 
 def _enter(df: DataFrame, index: Index):
-    """Enters each vector in its nearest lists; lists above TILE entries become tiles of pairs of blocks."""
+    """Ships each vector to its cells; cells above TILE entries become tiles of pairs of blocks."""
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = shared.value
+        code = {s: i for i, s in enumerate({s for s, _ in idx.tiles})}
+        tiled = {(code[s], c): t for (s, c), t in idx.tiles.items()}
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             v = batch.column(2)
             x = _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float32))
-            stores = np.array(batch.column(0).to_pylist(), dtype=object)
-            lists = np.zeros((n, 1), dtype=np.int32)
-            wide = np.full((n, idx.probes), -1, dtype=np.int32)
-            tiles = np.ones((n, idx.probes), dtype=np.int32)
-            wide[:, :1] = lists
-            for s in idx.centroids:
-                mine = np.array([o == s for o in stores])
-                if mine.any():
-                    near = idx.enter(s, x[mine])
-                    wide[mine, : near.shape[1]] = near
-                    tiles[mine] = np.where(wide[mine] >= 0, idx.tiles[s][wide[mine]], 1)
-            block = (np.abs((x * 1e6).astype(np.int64).sum(1) * 2654435761) >> 7)
-            take, at, a, b, own = [], [], [], [], []
-            plain = (wide >= 0) & (tiles == 1)
-            r, p = np.nonzero(plain)
-            take.append(r), at.append(wide[r, p]), a.append(np.zeros(len(r), int)), b.append(np.zeros(len(r), int)), own.append(np.zeros(len(r), int))
-            for r, p in zip(*np.nonzero((wide >= 0) & (tiles > 1))):
-                t = int(tiles[r, p])
-                mine = int(block[r] % t)
-                other = np.arange(t)
-                take.append(np.full(t, r)), at.append(np.full(t, wide[r, p])), own.append(np.full(t, mine))
-                a.append(np.minimum(other, mine)), b.append(np.maximum(other, mine))
-            take = np.concatenate(take)
-            i32 = lambda parts: pa.array(np.concatenate(parts).astype(np.int32))
-            kept = pa.array([[int(w) for w in sorted(row) if w >= 0] for row in wide], pa.list_(pa.int32())).take(pa.array(take))
-            sel = pa.array(take)
+            level, store = _of_stores(batch.column(0), idx, code)
+            wide = idx.entries(level, x)
+            r, p = np.nonzero(wide >= 0)
+            at = wide[r, p]
+            tiles = np.ones(len(r), dtype=np.int64)
+            if tiled:
+                pairs, back = np.unique(np.stack([store[r], at]), axis=1, return_inverse=True)
+                tiles = np.array([tiled.get((int(a), int(b)), 1) for a, b in pairs.T])[back.ravel()]
+            own = (np.abs((x[r] * 1e6).astype(np.int64).sum(1) * 2654435761) >> 7) % tiles
+            # a tile of an entry for each block of its cell, its own included
+            sel = np.repeat(np.arange(len(r)), tiles)
+            other = np.arange(len(sel)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+            mine = own[sel]
+            i32 = lambda values: pa.array(values.astype(np.int32))
+            take = pa.array(r[sel])
+            some = (wide >= 0).sum(1)
+            packed = np.sort(np.where(wide < 0, np.iinfo(np.int32).max, wide), axis=1)
+            cells = pa.ListArray.from_arrays(i32(np.r_[0, np.cumsum(some)]), i32(packed[np.arange(packed.shape[1])[None, :] < some[:, None]]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(sel), i32(at), i32(a), i32(b), i32(own), kept, batch.column(1).take(sel), v.take(sel)],
-                names=["store", "list", "a", "b", "block", "lists", "ids", "v"],
+                [batch.column(0).take(take), i32(at[sel]), i32(np.minimum(other, mine)), i32(np.maximum(other, mine)), i32(mine), cells.take(take), batch.column(1).take(take), v.take(take)],
+                names=["store", "cell", "a", "b", "block", "cells", "ids", "v"],
             )
 
     return run
 
 
 def _search(dim: int, least: float, k: int):
-    """Scans one tile of one list. A pair is reported in the first list its vectors share."""
+    """Scans a cell, or two blocks of a large one. A pair is reported in the first cell its vectors share."""
     out = pa.schema([("q", pa.string()), ("own", pa.bool_()), ("ids", pa.list_(pa.string())), ("far", pa.float64())])
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
         n = tile.num_rows
-        v = tile.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim).astype(np.float64)
-        exact = _unit(v)
-        rot = exact.astype(np.float32) @ _rotation(dim)
-        ids = tile.column("ids").to_pylist()
-        here, a, b = (tile.column(c)[0].as_py() for c in ("list", "a", "b"))
+        v = tile.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+        # lengths in double precision, so that cosines are exact to DIGITS
+        exact = v.astype(np.float64)
+        exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+        x = exact.astype(np.float32)
+        rot = x @ _rotation(dim)
+        ids = tile.column("ids").combine_chunks()
+        lead = ids.flatten().take(ids.offsets[:-1]).to_pylist()
+        here, a, b = (tile.column(c)[0].as_py() for c in ("cell", "a", "b"))
         block = tile.column("block").to_numpy()
-        raw = tile.column("lists").to_pylist()
-        lists = np.full((n, max(map(len, raw))), -1, dtype=np.int32)
-        for i, row in enumerate(raw):
-            lists[i, : len(row)] = row
-        every = np.arange(n)
-        if a == b:
-            sides = [(every, every)]
-        else:
-            sides = [(every[block == a], every[block == b]), (every[block == b], every[block == a])]
-        lead = np.array([i[0] for i in ids])
-        tie = np.argsort(np.argsort(lead, kind="stable"), kind="stable")
-        parts = [_scan(rot, exact, q, c, least, k, tie) for q, c in sides if len(q) and len(c)]
-        qi, ci, cos = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, int) for i in range(3))
+        held = tile.column("cells").combine_chunks()
+        size = held.value_lengths().to_numpy(zero_copy_only=False)
+        cells = np.full((n, size.max()), -1, dtype=np.int32)
+        cells[np.arange(cells.shape[1])[None, :] < size[:, None]] = held.flatten().to_numpy(zero_copy_only=False)
+        tie = np.argsort(np.argsort(np.array(lead, dtype=object), kind="stable"), kind="stable")
+        bound = np.full(n, 2 - 2 * least + 1e-5, dtype=np.float32)
+        near, stand, look = _lists(x, least, k)
+        by = lambda lists: (np.argsort(lists.ravel(), kind="stable") // lists.shape[1], np.r_[0, np.cumsum(np.bincount(lists.ravel(), minlength=near.max() + 1))])
+        (members, m), (looking, q) = by(near[:, :stand]), by(near[:, :look])
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        parts, waiting = [], 0
+        for i in range(len(m) - 1):
+            qi, ci, cos = _scan(rot, exact, looking[q[i] : q[i + 1]], members[m[i] : m[i + 1]], least, k, tie, bound)
+            if stand > 1:  # once, in the first list the two share
+                both = (near[qi][:, :, None] == near[ci][:, None, :]).any(2)
+                once = np.where(both, near[qi], near.max() + 1).min(1) == i
+                qi, ci, cos = qi[once], ci[once], cos[once]
+            parts.append((qi, ci, cos))
+            waiting += len(qi)
+            if waiting > 500_000 or i == len(m) - 2:
+                best = _top(*(np.concatenate(p) for p in zip(best, *parts)), tie, k)[:3]
+                parts, waiting = [], 0
+        qi, ci, cos = best
+        if a != b:
+            keep = block[qi] != block[ci]
+            qi, ci, cos = qi[keep], ci[keep], cos[keep]
         if len(qi):
-            both = (lists[qi][:, :, None] == lists[ci][:, None, :]).any(2) & (lists[qi] >= 0)
-            first = np.where(both, lists[qi], np.iinfo(np.int32).max).min(1)
+            both = (cells[qi][:, :, None] == cells[ci][:, None, :]).any(2) & (cells[qi] >= 0)
+            first = np.where(both, cells[qi], np.iinfo(np.int32).max).min(1)
             keep = first == here
             qi, ci, cos = qi[keep], ci[keep], cos[keep]
-        own = [i for i in range(n) if len(ids[i]) > 1 and lists[i, 0] == here and a == b]
-        columns = [
-            [ids[i][0] for i in qi] + [ids[i][0] for i in own],
-            [None] * len(qi) + [True] * len(own),
-            [ids[i] for i in ci] + [ids[i] for i in own],
-            [-float(c) for c in cos] + [-1.0] * len(own),
-        ]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+        several = (ids.value_lengths().to_numpy(zero_copy_only=False) > 1) & (cells[:, 0] == here) & (a == b)
+        copies = np.nonzero(several)[0]
+        q, c = np.r_[qi, copies].astype(np.int64), np.r_[ci, copies].astype(np.int64)
+        flag = pa.array(np.r_[np.zeros(len(qi), bool), np.ones(len(copies), bool)], mask=np.r_[np.ones(len(qi), bool), np.zeros(len(copies), bool)])
+        return pa.Table.from_arrays([pa.array(lead, pa.string()).take(pa.array(q)), flag, ids.take(pa.array(c)), pa.array(np.r_[-cos, -np.ones(len(copies))])], schema=out)
 
     return run

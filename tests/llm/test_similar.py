@@ -48,18 +48,51 @@ def test_equals_brute_force(spark, rows_per_task):
     assert found(spark, rows, least=0.85, k=5, rows_per_task=rows_per_task) == brute(rows, 0.85, 5)
 
 
-def test_lists_and_tiles_keep_recall(spark, monkeypatch):
-    monkeypatch.setattr(similar, "LIST_ROWS", 64)
+def test_cells_lists_and_tiles_keep_recall(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CELL_ROWS", 256)
+    monkeypatch.setattr(similar, "LIST_ROWS", 16)
     monkeypatch.setattr(similar, "TILE", 100)
     rows = made(2, 1500, copies=40)
     got, want = found(spark, rows, least=0.9, k=5), brute(rows, 0.9, 5)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_index_has_lists(spark):
-    df = spark.createDataFrame(made(3, 1400), SCHEMA).where("v is not null").where("size(v) = 8 and store = 'a'").where(similar.usable(F.col("v"), 8))
-    index = fit_index(df, "store", "v", "id", 3)
-    assert index.centroids == {} and fit_index(df.limit(0), "store", "v", "id", 3).centroids == {}
+def test_cells_grow_with_each_store(spark, monkeypatch):
+    df = spark.createDataFrame(made(3, 1400), SCHEMA).where("v is not null").where("size(v) = 8").where(similar.usable(F.col("v"), 8)).select("store", "v")
+    assert fit_index(df, 8).levels == {} and fit_index(df.limit(0), 8).levels == {}
+    monkeypatch.setattr(similar, "CELL_ROWS", 128)
+    index = fit_index(df, 8)
+    sizes = {r["store"]: r["count"] for r in df.groupBy("store").count().collect()}
+    assert {s: n for s, n in sizes.items() if n > 128}.keys() == index.levels.keys() and None in index.levels
+    for s, level in index.levels.items():
+        assert sizes[s] / 128 <= len(index.books[level]) < sizes[s] / 64
+
+
+def work(n: int, monkeypatch) -> tuple[float, float]:
+    """Entries shipped, and pairs whose first block is compared, for ``n`` vectors in groups of ten."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(n // 10, 64))
+    x = similar._unit((centres[rng.integers(len(centres), size=n)] + rng.normal(size=(n, 64)) * 0.35).astype(np.float32))
+    c = similar._kmeans(x, max(1, n // similar.CELL_ROWS))
+    wide = similar._nearest(x, c, 3)
+    pairs = 0
+    for cell in range(len(c)):
+        near, stand, look = similar._lists(x[(wide == cell).any(1)], 0.85, 10)
+        pairs += (np.bincount(near[:, :stand].ravel(), minlength=near.max() + 1) * np.bincount(near[:, :look].ravel(), minlength=near.max() + 1)).sum()
+    return wide.size, pairs
+
+
+def test_shipping_and_pairs_grow_with_the_rows(monkeypatch):
+    monkeypatch.setattr(similar, "CELL_ROWS", 2048)
+    (e1, p1), (e2, p2) = work(10_000, monkeypatch), work(80_000, monkeypatch)
+    assert np.log(e2 / e1) / np.log(8) <= 1.1 and np.log(p2 / p1) / np.log(8) <= 1.1
+
+
+def test_dense_cell_falls_back_to_many_lists():
+    rng = np.random.default_rng(8)
+    x = similar._unit((rng.normal(size=64) + rng.normal(size=(4000, 64)) * 0.4).astype(np.float32))
+    near, stand, look = similar._lists(x, 0.85, 10)
+    assert stand == 1 and look > 20
 
 
 def test_empty(spark):
@@ -96,7 +129,8 @@ def test_scan_holds_only_the_best_of_a_dense_group():
 
 def test_dense_group_over_many_lists_keeps_recall(spark, monkeypatch):
     """A third of the rows in one dense, not identical group of about 30 lists; the rest in small groups."""
-    monkeypatch.setattr(similar, "LIST_ROWS", 64)
+    monkeypatch.setattr(similar, "CELL_ROWS", 128)
+    monkeypatch.setattr(similar, "LIST_ROWS", 16)
     rng = np.random.default_rng(6)
     middle = rng.normal(size=64)
     blob = middle / np.linalg.norm(middle) + rng.normal(size=(2000, 64)) * (0.15 / 0.87 / 64) ** 0.5
