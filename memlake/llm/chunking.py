@@ -54,58 +54,41 @@ def _whole(text: str, at: int, least: int) -> int:
     return to if to > least else at
 
 
-def _attempt(text: str, count: int, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int] | None:
-    """``count - 1`` cuts near equal-length targets, or None where that takes a weaker boundary than need be.
-
-    A piece takes up to ``fresh`` new characters (the first ``limit``); up to ``limit``, at the cost of its
-    overlap, only to reach a boundary of at least the ``wanted`` kind. Where there is no boundary at
-    all the cut is at the target.
+def _cuts(text: str, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int]:
+    """Cuts at balanced targets, from the start to the end, each looked for within reach of the one before.
+
+    The rest of the text behind a cut is divided into the smallest number of pieces of ``fresh`` new
+    characters (the first: ``limit``), with targets at equal distances. A cut goes to the strongest
+    boundary near its target; where the rest could not be held by the pieces left from any boundary of the
+    ``wanted`` kind, a piece is added, and where there is none within reach, up to ``limit`` new
+    characters, at the cost of the overlap. Weaker boundaries follow in the same order; where there
+    is no boundary at all the cut is at the target.
     """
     size, cuts, last = len(text), [], 0
-    slack = size / count / 3
-    for i in range(1, count):
-        target = size * i / count
-        least = size - (count - i) * fresh
-        soft, hard = min(last + (limit if i == 1 else fresh), size - 1), min(last + limit, size - 1)
-        if max(least, last + 1) > soft:
-            return None
-
-        def strongest(a: float, b: float, kind: int) -> int | None:
-            here = [j for j in range(bisect_left(places, a), bisect_right(places, b)) if kinds[j] >= kind]
-            return max(here, key=lambda j: (kinds[j] - abs(places[j] - target) / (2 * slack), -places[j]), default=None)
-
-        low = last + 1
-        best = strongest(max(low, least, target - slack), min(soft, target + slack), wanted)
-        if best is None:
-            best = strongest(max(low, least), soft, wanted)
-        if best is None and strongest(low, soft, wanted) is not None:
-            return None
-        if best is None:
-            best = strongest(soft + 1, hard, wanted)
-        if best is None:
-            best = strongest(max(low, least, target - slack), min(soft, target + slack), WORD)
-        if best is None:
-            best = strongest(max(low, least), soft, WORD)
-        if best is None:
-            if strongest(low, soft, WORD) is not None:
-                return None
-            last = _whole(text, int(min(max(target, low, least), soft)), max(low, least))
-        else:
-            last = places[best]
-        cuts.append(last)
-    return cuts if size - last <= limit else None
-
-
-def _greedy(text: str, limit: int, fresh: int, places: list[int], kinds: list[int], wanted: int) -> list[int]:
-    """Cuts at the last strong boundary within reach, or at the limit where there is none."""
-    size, cuts, last = len(text), [], 0
     while size - last > (fresh if cuts else limit):
-        reach = last + (fresh if cuts else limit)
-        here = range(bisect_left(places, last + 1), bisect_right(places, reach))
-        if here:
-            last = places[max(here, key=lambda j: (kinds[j] >= wanted, kinds[j] + 3 * (places[j] - last) / (reach - last), places[j]))]
-        else:
-            last = _whole(text, reach, last + 1)
+        most = fresh if cuts else limit
+        rest = size - last
+        pieces = 1 + -(-(rest - most) // fresh)
+        soft, hard = min(last + most, size - 1), min(last + limit, size - 1)
+        # from here on the rest fits the pieces left
+        fits = max(size - (pieces - 1) * fresh, last + 1)
+        target, slack = last + rest / pieces, rest / pieces / 3
+
+        def strongest(a: float, b: float, kind: int, target: float = target, slack: float = slack) -> int | None:
+            lo, hi = bisect_left(places, a), bisect_right(places, b)
+            return max((j for j in range(lo, hi) if kinds[j] >= kind), key=lambda j: (kinds[j] - abs(places[j] - target) / (2 * slack), -places[j]), default=None)
+
+        best = None
+        for kind in dict.fromkeys((wanted, WORD)):
+            more = last + rest / (pieces + 1)
+            tries = ((max(fits, target - slack), min(soft, target + slack)), (fits, soft), (max(last + 1, more - slack), soft, more), (last + 1, soft, more), (soft + 1, hard))
+            for low, high, *at in tries:
+                best = strongest(low, high, kind, *at)
+                if best is not None:
+                    break
+            if best is not None:
+                break
+        last = places[best] if best is not None else _whole(text, int(min(max(target, fits), soft)), fits)
         cuts.append(last)
     return cuts
 
@@ -113,8 +96,8 @@ def _greedy(text: str, limit: int, fresh: int, places: list[int], kinds: list[in
 def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, int, int, str]]:
     """Pieces ``(start, cut, end, boundary)``: ``text[start:end]`` of which ``text[cut:end]`` is new.
 
-    The smallest number of pieces is tried first, with targets at equal distances, each
-    snapped to the strongest boundary nearby; a piece is added whenever a limit fails.
+    Targets lie at equal distances for the smallest number of pieces, each snapped to the
+    strongest boundary nearby; a piece is added whenever a limit fails. Time is linear in the text.
     The new parts of all pieces joined give the text; a piece never exceeds ``limit``,
     and repeats at most ``overlap`` characters of the piece before, from a word's start where there is one.
     """
@@ -125,13 +108,7 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
         return [(0, 0, size, "end")]
     places, kinds = boundaries(text)
     wanted = {"paragraph": PARAGRAPH, "line": LINE}.get(cut_level(text, limit), WORD)
-    least = 1 + -(-(size - limit) // fresh)
-    for count in range(least, least + 4 + least // 2):
-        cuts = _attempt(text, count, limit, fresh, places, kinds, wanted)
-        if cuts is not None:
-            break
-    else:
-        cuts = _greedy(text, limit, fresh, places, kinds, wanted)
+    cuts = _cuts(text, limit, fresh, places, kinds, wanted)
     strength = dict(zip(places, kinds))
     out, before = [], 0
     for cut, end in zip([0, *cuts], [*cuts, size]):
@@ -149,19 +126,19 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
 
 
 def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 2000, overlap: int = 200) -> DataFrame:
-    """Pieces of every text: ``keys``, ``piece_no`` from 0, ``start``, ``n_new``, ``n_overlap``, ``piece``, ``boundary``, ``cut_level``.
+    """Pieces of every text: ``keys``, ``piece_no`` from 0, ``start``, ``n_new``, ``n_overlap``, ``n_chars`` (of the text), ``piece``, ``boundary``, ``cut_level``.
 
     ``boundary`` is what the piece ends at (``end`` for the last), ``cut_level`` see the function.
     Texts within ``limit`` come out whole, empty texts as one empty piece, null texts not at all.
     Each row is worked on by itself: no shuffle, memory for one batch and one text.
     """
     schema = df.select(*keys).schema
-    for name, kind in (("piece_no", "integer"), ("start", "integer"), ("n_new", "integer"), ("n_overlap", "integer"), ("piece", "string"), ("boundary", "string"), ("cut_level", "string")):
+    for name, kind in (("piece_no", "integer"), ("start", "integer"), ("n_new", "integer"), ("n_overlap", "integer"), ("n_chars", "integer"), ("piece", "string"), ("boundary", "string"), ("cut_level", "string")):
         schema = schema.add(name, kind)
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32()] * 4 + [pa.string()] * 3
+        kinds = [pa.int32()] * 5 + [pa.string()] * 3
         for batch in batches:
             rows: list[tuple] = []
             take: list[int] = []
@@ -177,7 +154,7 @@ def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 2000, ov
                     continue
                 level = cut_level(value, limit)
                 for no, (start, cut, end, bound) in enumerate(split_text(value, limit, overlap)):
-                    rows.append((no, cut, end - cut, cut - start, value[start:end], bound, level))
+                    rows.append((no, cut, end - cut, cut - start, len(value), value[start:end], bound, level))
                     take.append(i)
                 held += len(value)
                 if held > 8_000_000:

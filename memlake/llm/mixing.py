@@ -107,5 +107,5 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
 
 def mix_documents(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, tokenizer: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """``mix_sources`` over texts measured in tokens."""
-    listed = docs.join(F.broadcast(targets.select(F.col("source").alias(source)).distinct()), source, "left_semi")
+    listed = docs.join(targets.select(F.col("source").alias(source)).distinct(), source, "left_semi")
     return mix_sources(listed.select(key, source, n_tokens(F.col(text), tokenizer).alias("n_tokens")), key, source, "n_tokens", targets, **options)

@@ -39,7 +39,7 @@ class Pattern:
 
 
 def best_fit(histogram: dict[int, int], open_size) -> list[Pattern]:
-    """Best fit, largest sizes first, opening containers of ``open_size(size)``.
+    """Best fit, largest sizes first, opening containers of ``open_size(size, left)`` (``left``: items not yet placed, by size).
 
     Identical to placing the items one by one: an item goes to the open container with the
     least room that holds it; a container of room r takes floor(r / size) of them before the
@@ -67,7 +67,7 @@ def best_fit(histogram: dict[int, int], open_size) -> list[Pattern]:
                     order.pop(at)
                 k = left // size
             else:
-                capacity = open_size(size)
+                capacity = open_size(size, {s: n for s, n in histogram.items() if s < size} | {size: count})
                 k, left = capacity // size, capacity
                 p = Pattern(capacity, {}, -(-count // k))
             full = min(p.times, count // k)
@@ -84,25 +84,33 @@ def best_fit(histogram: dict[int, int], open_size) -> list[Pattern]:
 def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[Pattern]:
     """The cheapest packing over the permitted lengths jointly.
 
-    Candidates open, for an item, the smallest permitted length with at least a given room to
-    spare, or one fixed length; each candidate packing has every container downsized to the
-    smallest length that holds its content, and costs its capacities plus ``overhead`` a
-    container. The least cost wins.
+    A container is opened in the permitted length of least cost a token, filled as far as the items still
+    to be placed allow; other candidates open the smallest length with at least a given room to
+    spare, or one fixed length. Of every candidate packing each container is downsized to the
+    smallest length that holds its content, and costs its capacity plus ``overhead``. The least cost wins.
     """
     sizes = sorted(capacities)
 
     def opener(spare: float, least: int):
-        return lambda size: next((c for c in sizes if c >= least and c >= size * (1 + spare)), sizes[-1])
+        return lambda size, left: next((c for c in sizes if c >= least and c >= size * (1 + spare)), sizes[-1])
+
+    def least_cost(size: int, left: dict[int, int]) -> int:
+        def per_token(c: int) -> tuple[float, int]:
+            room = c
+            for s in sorted((s for s in left if s <= size), reverse=True):
+                room -= min(left[s], room // s) * s
+            return (c + overhead) / (c - room), c
+
+        return min(per_token(c) for c in sizes if c >= size)[1]
 
     best: tuple[float, list[Pattern]] | None = None
-    for least in sizes:
-        for spare in (0.0, 0.25, 1.0):
-            made = best_fit(histogram, opener(spare, least))
-            for p in made:
-                p.capacity = next(c for c in sizes if c >= p.used)
-            cost = sum((p.capacity + overhead) * p.times for p in made)
-            if best is None or cost < best[0]:
-                best = cost, made
+    for rule in [least_cost, *(opener(spare, least) for least in sizes for spare in (0.0, 0.25, 1.0))]:
+        made = best_fit(histogram, rule)
+        for p in made:
+            p.capacity = next(c for c in sizes if c >= p.used)
+        cost = sum((p.capacity + overhead) * p.times for p in made)
+        if best is None or cost < best[0]:
+            best = cost, made
     return sorted(best[1], key=lambda p: (-p.capacity, sorted(p.content.items(), reverse=True)))
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +59,11 @@ def test_every_cut_is_at_a_paragraph_where_paragraphs_fit(lengths):
     text = "\n\n".join("word. "[: n % 6 or 6] * (n // 6) + "x" for n in lengths)
     assert cut_level(text, 60) == "paragraph"
     assert {b for *_, b in split_text(text, 60, 8)} <= {"paragraph", "end"}
+
+
+@pytest.mark.parametrize("text", ["".join(w + (". " if i % 9 == 0 else " ") for i, w in enumerate(["word", "sentence", "thing"] * 27_000)), ("x" * 1500 + " ") * 660, "y" * 1_000_000])
+def test_a_long_text_takes_linear_time(text):
+    began = time.perf_counter()
+    pieces = split_text(text)
+    assert time.perf_counter() - began < 1.5
+    assert len(pieces) <= 1.25 * (1 + -(-(len(text) - 2000) // 1800))

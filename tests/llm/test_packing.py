@@ -22,7 +22,7 @@ def one_by_one(sizes, capacity):
 @given(st.lists(st.integers(1, 50), max_size=120))
 def test_histogram_equals_item_by_item(sizes):
     counts = {s: sizes.count(s) for s in sizes}
-    made = best_fit(counts, lambda s: 50)
+    made = best_fit(counts, lambda s, left: 50)
     rooms = sorted(p.capacity - p.used for p in made for _ in range(p.times))
     assert rooms == one_by_one(sizes, 50)
     assert {s: sum(p.content.get(s, 0) * p.times for p in made) for s in counts} == counts
