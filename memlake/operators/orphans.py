@@ -21,25 +21,25 @@ def find_orphans(
     ``kind`` is the first that holds of ``missing``, ``deleted``, ``late`` (``first_seen``
     after ``at``; never where either is null); ``period`` is the month of ``at`` (null if null).
 
-    A Bloom filter of the parent keys proves most missing targets; only what passes it has a key
-    in the exact join, with targets that are hot among the references salted. ``parent_keys``
+    A Bloom filter of the parent keys proves most missing targets, which come out at once; only the
+    references that pass it are shuffled and joined, with targets that are hot among them salted. ``parent_keys``
     (``target_table, target``, repeated ones do no harm) and ``probe`` (references, at least all
     of them) may name tables that are cheaper to read than ``parents`` and ``refs``.
     """
-    refs = refs.where(F.col("target").isNotNull() & (F.col("target") != ""))
+    refs = refs.where(F.col("target").isNotNull() & (F.col("target") != "")).select("src_table", "src_field", "target_table", "src_id", "target", "at")
     key = F.xxhash64("target_table", "target")
     bloom = BloomFilter.build((parent_keys if parent_keys is not None else parents).select(key.alias("h")), "h", expected)
     counted = (probe if probe is not None else refs).where("target is not null and target <> ''")
     hot = [r.asDict() for r in skew.hot_keys(counted, ["target_table", "target"], rows_per_task)]
     hot = [{"in_table": r["target_table"], "in_key": r["target"]} for r in hot]
-    # a definite orphan gets a key that no parent has, and spreads by its source
-    maybe = bloom.column(refs, key)
-    marked = refs.withColumns({"in_table": F.when(maybe, F.col("target_table")).otherwise(F.lit("")), "in_key": F.when(maybe, F.col("target")).otherwise(F.col("src_id"))})
+    marked = refs.withColumn("__maybe", bloom.column(refs, key))
+    proven = marked.where("not __maybe").select(*refs.columns, F.lit("missing").alias("kind"))
+    open_ = marked.where("__maybe").drop("__maybe").withColumnsRenamed({"target_table": "in_table", "target": "in_key"})
     there = parents.select(F.col("target_table").alias("in_table"), F.col("target").alias("in_key"), "first_seen", "deleted", F.lit(True).alias("__there"))
-    left, right, keys = skew.salted(marked, there, ["in_table", "in_key"], ["src_id"], hot=hot)
-    met = left.join(right, keys, "left")
+    left, right, keys = skew.salted(open_, there, ["in_table", "in_key"], ["src_id"], hot=hot)
     kind = F.when(F.col("__there").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first_seen") > F.col("at"), "late")
-    found = met.withColumn("kind", kind).where("kind is not null")
+    met = left.join(right, keys, "left").withColumn("kind", kind).where("kind is not null").withColumnsRenamed({"in_table": "target_table", "in_key": "target"})
+    found = met.select(*proven.columns).unionByName(proven)
     return found.select("src_table", "src_field", "src_id", "target", "kind", F.date_format("at", "yyyy-MM").alias("period"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.current import current_rows
-from memlake.operators.history import change_rates, satellites
+from memlake.operators.history import history
 from memlake.operators.intervals import merge_intervals
 from memlake.operators.orphans import find_orphans, orphan_report
 
@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _history(spark: SparkSession, sf_dir: str):
     rows = _edges(spark, sf_dir, "one", ["to_node", "recorded_at"])
-    return satellites(rows, "from_node", "rel", "to_node", "valid_from", "valid_to", "recorded_at", "id", probe=table(spark, sf_dir, "pg"))
+    return history(rows, "from_node", "rel", "to_node", "valid_from", "valid_to", "recorded_at", "id", probe=table(spark, sf_dir, "pg"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per satellite: attributes split by how often they change."""
-    rows = _history(spark, sf_dir).table
-    rates = change_rates(rows, "from_node", "rel")
-    return rows.groupBy("rel").agg(F.count("*").alias("n_rows"), F.count("hash_diff").alias("n_versions")).join(rates, "rel").select(
-        "satellite", "rel", "n_rows", "n_versions"
-    )
+    """Rows and versions per satellite and attribute."""
+    rows = _history(spark, sf_dir).table()
+    return rows.groupBy("satellite", "rel").agg(F.count("*").alias("n_rows"), F.count("hash_diff").alias("n_versions"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, DataFrame, DataFrame]:

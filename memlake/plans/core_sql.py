@@ -55,8 +55,9 @@ P4_SATELLITES = (
     + """
 , ended AS (SELECT *, lead(s) OVER (PARTITION BY from_node, rel ORDER BY s) AS ns FROM ver),
 rows_ AS (SELECT from_node, rel, 1 AS v FROM ver UNION ALL SELECT from_node, rel, 0 FROM ended WHERE e < 9000000000000000 AND (ns IS NULL OR e < ns)),
-rate AS (SELECT rel, avg(n) AS rate FROM (SELECT rel, from_node, count(*) AS n FROM rows_ GROUP BY ALL) GROUP BY rel)
-SELECT CASE WHEN rate >= 1.5 THEN 'fast' ELSE 'slow' END AS satellite, rel, count(*) AS n_rows, CAST(sum(v) AS BIGINT) AS n_versions FROM rows_ JOIN rate USING (rel) GROUP BY rel, rate
+per AS (SELECT rel, from_node, count(*) AS n FROM pg WHERE valid_from IS NOT NULL GROUP BY ALL),
+rate AS (SELECT rel, sum(n) / count(*) AS rate, (SELECT sum(n) / count(*) FROM per) AS mean FROM per GROUP BY rel)
+SELECT CASE WHEN rate >= mean THEN 'fast' ELSE 'slow' END AS satellite, rel, count(*) AS n_rows, CAST(sum(v) AS BIGINT) AS n_versions FROM rows_ JOIN rate USING (rel) GROUP BY rel, rate, mean
 """
 )
 

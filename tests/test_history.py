@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from memlake.operators.history import change_rates, satellites
+from memlake.operators.history import appended, change_rates, history, satellites
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "id string, ent string, att string, val string, s timestamp, e timestamp, r timestamp, value string"
@@ -52,10 +52,24 @@ def test_versions(spark, rows_per_task):
     ms = lambda v: None if v is None else (v - us) // 1000
     got = [(r["ent"], r["att"], r["value"], ms(r["from_us"]), ms(r["to_us"])) for r in sat.view().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
+    both = history(df, "ent", "att", "val", "s", "e", "r", "id", rows_per_task)
+    assert {r["att"] for r in both.fast.table.collect()} == {"x"} and {r["att"] for r in both.slow.table.collect()} == {"y"}
+    split = [(r["ent"], r["att"], r["value"], ms(r["from_us"]), ms(r["to_us"])) for r in both.view().collect()]
+    assert sorted(map(str, split)) == sorted(map(str, got)) and both.table().count() == sat.table.count()
+
+
+def test_a_load_appends_what_changed(spark):
+    at = lambda m: T0 + timedelta(milliseconds=m)
+    rows = [("1", "a", "x", "p", at(0), None, at(0), ""), ("2", "a", "y", "q", at(0), None, at(0), ""), ("3", "b", "x", None, at(0), None, at(0), "")]
+    stored = satellites(spark.createDataFrame(rows, SCHEMA), "ent", "att", "val", "s", "e", "r", "id").table
+    load = spark.createDataFrame([("a", "x", "p2", at(5)), ("a", "y", "q", at(5)), ("b", "x", None, at(5)), ("c", "x", "new", at(5)), (None, "x", "n", at(5))], "ent string, att string, val string, t timestamp")
+    new = appended(stored, load, ["ent", "att"], "val", "t")
+    assert {(r["ent"], r["att"], r["value"]) for r in new.collect()} == {("a", "x", "p2"), ("c", "x", "new"), (None, "x", "n")}
+    assert appended(stored.unionByName(new), load, ["ent", "att"], "val", "t").count() == 0
 
 
 def test_empty_and_rates(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert satellites(df, "ent", "att", "val", "s", "e", "r", "id").view().count() == 0
     some = spark.createDataFrame([("a", "fast")] * 4 + [("a", "slow"), ("b", "slow")], "ent string, att string")
-    assert {r["att"]: r["satellite"] for r in change_rates(some, "ent", "att").collect()} == {"fast": "fast", "slow": "slow"}
+    assert {r["att"]: r["satellite"] for r in change_rates(some, "ent", "att", 1.5).collect()} == {r["att"]: r["satellite"] for r in change_rates(some, "ent", "att").collect()} == {"fast": "fast", "slow": "slow"}
