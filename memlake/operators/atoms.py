@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import normalise_status, symbol_parts
@@ -15,8 +15,9 @@ CHAIN_LINKS = ("references", "implements", "parent_blueprint", "resolves")
 
 def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key; rows without a key are dropped."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    rest = [c for c in df.columns if c != key]
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x"))
+    return first.select(*[F.col(key) if c == key else F.col("__x")[c].alias(c) for c in df.columns])
 
 
 def substring_search(atoms: DataFrame, needle: str, order: Column, k: int = 5) -> DataFrame:
@@ -62,9 +63,51 @@ def broken_links(atoms: DataFrame, via: tuple[str, ...] | None = None) -> DataFr
 
 
 def backlinks(atoms: DataFrame) -> DataFrame:
-    """Who links to each target, scored 1/rank by id: ``target, id, score``. Hot targets rank within a limit-free window of ids only."""
-    links = crosslinks(atoms).select("target", "id").distinct()
-    return links.withColumn("score", 1.0 / F.row_number().over(Window.partitionBy("target").orderBy("id")))
+    """Who links to each target, scored 1/rank by id: ``target, id, score``. Hot targets are ranked over several partitions."""
+    ranked = skew.numbered(crosslinks(atoms).select("target", "id").distinct(), ["target"], ["id"], "__r")
+    return ranked.select("target", "id", (1.0 / F.col("__r")).alias("score"))
+
+
+def tagged(atoms: DataFrame) -> DataFrame:
+    """The atoms of every tag, scored 1/rank by id: ``tag, id, score``. Tags compare as written; null and empty ones are none."""
+    pairs = atoms.select(F.explode("tags").alias("tag"), "id").where("tag is not null and tag <> '' and id is not null").distinct()
+    return skew.numbered(pairs, ["tag"], ["id"], "__r").select("tag", "id", (1.0 / F.col("__r")).alias("score"))
+
+
+# How grave a change to what an atom of a type cites is; any other type is LOW, and none cited NONE.
+RISK = {"adr": "HIGH", "blueprint": "HIGH", "feat": "MEDIUM", "concept": "MEDIUM", "flow": "MEDIUM"}
+RISKS = ("NONE", "LOW", "MEDIUM", "HIGH")
+
+
+def risk_rank(kind: Column) -> Column:
+    """The rank in RISKS of an atom's type; null types are LOW."""
+    rank = F.lit(1)
+    for name, risk in RISK.items():
+        rank = F.when(F.lower(kind) == name, F.lit(RISKS.index(risk))).otherwise(rank)
+    return rank
+
+
+def drift(changed: DataFrame, atoms: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """What a change touches: ``symbol, n_atoms, n_callers, risk`` for every changed ``symbol`` (``file[:fn[:line]]``).
+
+    ``risk`` is the greatest of the citing atoms, ``NONE`` without any. ``callers``: ``seed, node`` as ``graph.neighbors`` finds them
+    against the calls, with symbols as seeds.
+    """
+    asked = changed.select("symbol").where("symbol is not null").distinct()
+    cited = citing_atoms(asked, atoms).join(atoms.select("id", "type"), "id").groupBy("symbol").agg(F.count("*").alias("n_atoms"), F.max(risk_rank(F.col("type"))).alias("__r"))
+    out = asked.join(cited, "symbol", "left")
+    if callers is None:
+        out = out.withColumn("n_callers", F.lit(0).cast("long"))
+    else:
+        out = out.join(callers.groupBy(F.col("seed").alias("symbol")).agg(F.countDistinct("node").alias("n_callers")), "symbol", "left")
+    names = F.array(*map(F.lit, RISKS))
+    return out.select("symbol", F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"), F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.element_at(names, F.coalesce("__r", F.lit(0)) + 1).alias("risk"))
+
+
+def drift_summary(report: DataFrame) -> DataFrame:
+    """Changed symbols per risk, those that do not occur with 0: ``risk, n``."""
+    every = report.sparkSession.createDataFrame([(r,) for r in RISKS], "risk string")
+    return every.join(report.groupBy("risk").agg(F.count("*").alias("n")), "risk", "left").select("risk", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:

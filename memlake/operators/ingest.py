@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import body, front_fields, is_atomic_id
@@ -24,9 +26,9 @@ def index_rows(notes: DataFrame, path: str, text: str) -> DataFrame:
 
 def reindex(notes: DataFrame, path: str, text: str) -> DataFrame:
     """The index: rows that are not skipped, of equal ids the one with the least path."""
-    first = Window.partitionBy("id").orderBy("path")
-    rows = index_rows(notes, path, text).where("skip is null").drop("skip")
-    return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    rows = index_rows(notes, path, text).where("skip is null")
+    first = rows.groupBy("id").agg(F.min_by(F.struct("path", "phase", "type", "status"), "path").alias("x"))
+    return first.select("x.path", "id", "x.phase", "x.type", "x.status")
 
 
 def content_hash(text: Column) -> Column:
@@ -41,6 +43,28 @@ def hash_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def states_at(log: DataFrame, key: str, text: str, at: str, moment: Column) -> DataFrame:
+    """The manifest (``key, hash``) of a log as of a moment: of each key the latest row not after it."""
+    seen = log.where(F.col(key).isNotNull() & (F.col(at) <= moment))
+    return seen.groupBy(key).agg(F.max_by(content_hash(F.col(text)), at).alias("hash"))
+
+
+def embed_changed(chunks: DataFrame, notes: DataFrame, stored: DataFrame, key: str, text: str, embed: Callable[[Column], Column], **options) -> tuple[DataFrame, DataFrame]:
+    """Incremental re-embedding: the chunk table with vectors after a change of notes, and the new manifest of file hashes.
+
+    ``chunks``: the table so far, with the columns of ``chunk_markdown`` and ``vector``; ``stored``: the manifest it was made from
+    (``key, hash``). Only chunks of added and changed notes are made and embedded; those of changed and deleted ones go.
+    """
+    now = notes.select(key, content_hash(F.col(text)).alias("hash"))
+    diff = hash_diff(stored, now, key)
+    kept = refresh_chunks(chunks.drop("vector"), notes, diff, key, text, **options)
+    held = chunks.select(key, "chunk_no", "vector")
+    fresh = diff.where(F.col("change").isin("added", "changed")).select(key)
+    made = kept.join(fresh, key, "left_semi").withColumn("vector", embed(F.col("chunk")))
+    old = kept.join(fresh, key, "left_anti").join(held, [key, "chunk_no"], "left")
+    return old.unionByName(made), now
+
+
 def refresh_chunks(chunks: DataFrame, notes: DataFrame, diff: DataFrame, key: str, text: str, **options) -> DataFrame:
     """The chunk table after a change: chunks of changed and deleted notes dropped, those of added and changed ones made anew.
 

@@ -31,7 +31,7 @@ def find_orphans(
     bloom = BloomFilter.build((parent_keys if parent_keys is not None else parents).select(key.alias("h")), "h", expected)
     counted = (probe if probe is not None else refs).where("target is not null and target <> ''")
     hot = [r.asDict() for r in skew.hot_keys(counted, ["target_table", "target"], rows_per_task)]
-    hot = [{"in_table": r["target_table"], "in_key": r["target"]} for r in hot]
+    hot = [{"in_table": r["target_table"], "in_key": r["target"], "count": r["count"]} for r in hot]
     marked = refs.withColumn("__maybe", bloom.column(refs, key))
     proven = marked.where("not __maybe").select(*refs.columns, F.lit("missing").alias("kind"))
     open_ = marked.where("__maybe").drop("__maybe").withColumnsRenamed({"target_table": "in_table", "target": "in_key"})

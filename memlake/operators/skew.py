@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.session import cut
+
 MAX_HOT = 4096
-MAX_BUCKETS = 512
+#: Cut points of one key, and of all keys together; both reach the driver.
+MAX_BUCKETS = 16_384
 MAX_TOTAL = 65_536
 ROWS_PER_TASK = 100_000
+#: Groups a hot key of a join is spread over at most.
+MAX_WAYS = 4096
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -148,6 +153,23 @@ def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], out: str
     return met.withColumn(out, F.col(out) + F.coalesce("__base", F.lit(0))).drop("__bucket", "__hb", "__base", *[f"__h_{k}" for k in keys])
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the 1-based position of each row within its key by ``order``, columns of any orderable type, unique within a key.
+
+    A global range sort cuts large keys over several partitions; what a key has in partitions before is
+    added from a table with one row per key and partition, of which only keys that cross a border have more than one.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
+    inside = placed.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order)))
+    counts = placed.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumns({"__base": F.sum("__n").over(whole.orderBy("__p")) - F.col("__n"), "__parts": F.count("*").over(whole)}).where("__parts > 1 and __base > 0")
+    # at most one key crosses each border
+    base = counts.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__p").alias("__hp"), "__base")
+    met = inside.join(F.broadcast(base), _eq(keys) & (F.col("__p") == F.col("__hp")), "left")
+    return met.withColumn(out, F.col(out) + F.coalesce("__base", F.lit(0))).drop("__p", "__hp", "__base", *[f"__h_{k}" for k in keys])
+
+
 def _eq(keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -160,10 +182,11 @@ def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TAS
     return rows.groupBy(*keys).count().where(F.col("count") > rows_per_task).orderBy(F.desc("count")).limit(MAX_HOT).collect()
 
 
-def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows_per_task: int = ROWS_PER_TASK, ways: int = 64, hot: list | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows_per_task: int = ROWS_PER_TASK, ways: int | None = None, hot: list | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of an equi-join with a salt for the keys hot on the left, and the keys to join on.
 
-    A hot key's left rows spread over ``ways`` groups by a hash of ``spread``; the right
+    A hot key's left rows spread over ``ways`` groups (default: one for each ``rows_per_task`` of the largest
+    key, at least 64, at most MAX_WAYS) by a hash of ``spread``; the right
     rows of hot keys repeat once per group. ``right`` should hold few rows per key.
     Without hot keys both sides come back as they are. ``hot`` gives rows with the hot
     keys (at most MAX_HOT) where they are known already.
@@ -171,6 +194,9 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]
     top = hot if hot is not None else hot_keys(left, keys, rows_per_task)
     if not top:
         return left, right, keys
+    if ways is None:
+        largest = max((r["count"] for r in top if "count" in (r if isinstance(r, dict) else r.asDict())), default=0)
+        ways = min(MAX_WAYS, max(64, -(-largest // max(1, rows_per_task))))
     hot = left.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in top], left.select(*keys).schema)
     hot = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
     hidden = [f"__h_{k}" for k in keys]
