@@ -20,6 +20,11 @@ def valid_at(valid_from: Column, valid_to: Column, at: Column) -> Column:
     return (valid_from <= at) & (valid_to.isNull() | (at < valid_to))
 
 
+def invalid(status: Column, valid_to: Column) -> Column:
+    """Is a row closed, or invalid by its own status?"""
+    return valid_to.isNotNull() | F.coalesce(status == "invalid", F.lit(False))
+
+
 def namespace_filter(namespace: dict[str, str | None], prefix: str = "") -> Column:
     """Equality on the keys that are set; without any, everything passes."""
     cond = F.lit(True)

@@ -101,9 +101,47 @@ def normalise_status(x: Column) -> Column:
 
 
 def derive_title(x: Column, words: int = 8) -> Column:
-    """The first words of the first line."""
-    first = F.split(F.trim(x), "\n")[0]
-    return F.array_join(F.slice(F.split(collapse(first), " "), 1, words), " ")
+    """The first words of the first line; ``Untitled`` where it has none."""
+    first = collapse(F.split(x, r"\r?\n")[0])
+    title = F.array_join(F.slice(F.split(first, " "), 1, words), " ")
+    return F.when(title == "", F.lit("Untitled")).otherwise(title)
+
+
+def proposed_id(kind: Column, x: Column) -> Column:
+    """``KIND--SLUG`` from a fact's text: the slug of its title, 40 characters at most; a null kind is ``FACT``."""
+    slug = F.substring(slugify(derive_title(x), upper=True), 1, 40)
+    return F.concat(F.upper(F.coalesce(kind, F.lit("fact"))), F.lit("--"), F.when(slug == "", F.lit("UNTITLED")).otherwise(slug))
+
+
+def basename(path: Column) -> Column:
+    """The last part of a path without ``.md``."""
+    return F.regexp_replace(F.regexp_extract(path, r"(?s)([^/]*)\z", 1), r"(?i)\.md\z", "")
+
+
+def extract_context(x: Column, needle: Column, length: int) -> Column:
+    """About ``length`` characters around the first occurrence of ``needle``, ignoring case, white space collapsed; the start where there is none."""
+    at = F.instr(F.lower(x), F.lower(needle))
+    start = F.greatest(F.lit(0), at - 1 - length // 2)
+    return F.when(at == 0, F.substring(x, 1, length)).otherwise(collapse(F.substring(x, start + 1, F.lit(length))))
+
+
+def score_overlap(haystack: Column, needle: Column) -> Column:
+    """The share of the needle's words (repeated ones count each time) that occur in the haystack; 0 without words."""
+    own, wanted = tokenize(haystack), tokenize(needle)
+    met = F.size(F.filter(wanted, lambda w: F.array_contains(own, w)))
+    return F.when(F.size(wanted) <= 0, F.lit(0.0)).otherwise(met / F.size(wanted))
+
+
+# Turn tags a transcript line may not start with, and what marks a collapsed line end.
+TURN_TAGS = ("USER", "AGENT", "TOOL", "BRAIN", "MEMORY", "SYSTEM")
+LINE_MARK = " ⏎ "
+
+
+def one_line_turn(kind: Column, content: Column) -> Column:
+    """A step as one labelled line; turn tags at the start of lines inside it are quoted, line ends marked."""
+    safe = F.regexp_replace(content, "\r", "")
+    safe = F.regexp_replace(safe, rf"(?i)\n{SPACE}*\[({'|'.join(TURN_TAGS)})\]", " [$1-quoted]")
+    return F.concat(F.lit("["), F.upper(kind), F.lit("] "), F.regexp_replace(safe, r"\n+", LINE_MARK))
 
 
 def wikilinks(x: Column) -> Column:

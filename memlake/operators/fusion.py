@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 
 from memlake.operators.lexical import blend, bm25, min_max
 
+# Which sources a strategy asks.
+STRATEGIES = {
+    "atomic": ("atomic",), "vector": ("vector",), "episodic": ("episodic",), "notes": ("notes",), "multi": ("atomic", "vector", "episodic", "notes"),
+}
 STABLE_BOOST = 0.05
 RERANK_LIMIT = 20
 
 
+def sources_of(strategy: str = "multi", notes: bool = True) -> tuple[str, ...]:
+    """The sources a strategy asks; unknown strategies ask as ``multi``, which has notes only where there are some."""
+    asked = STRATEGIES.get(strategy, STRATEGIES["multi"])
+    return asked if notes or strategy == "notes" else tuple(s for s in asked if s != "notes")
+
+
 def union_hits(*sources: DataFrame) -> DataFrame:
     """All sources' hits, columns by name; what a source lacks is null."""
     out = sources[0]
@@ -39,12 +49,17 @@ def rerank(hits: DataFrame, alpha: float = 0.6, limit: int = RERANK_LIMIT, score
     """The first ``limit`` hits of each query reordered by a blend of their score and a second one; the rest stays behind them.
 
     ``hits``: ``query_id, query, snippet, score, rank`` (rank bounds what a query gathers). ``scorer``
-    adds the column ``second`` (default: BM25 on the snippet within ``__set``); its scores are scaled per query. The
-    result has the blended ``score`` and the new ``rank``.
+    adds the column ``second`` (default: BM25 on the snippet within ``__set``); its scores are scaled per query. Where it
+    leaves one null, the query keeps the order it has. The result has the blended ``score`` and the new ``rank``.
     """
     banded = hits.withColumn("__band", F.when(F.col("rank") <= limit, 0).otherwise(1)).withColumn("__set", F.struct("query_id", "__band"))
     scored = scorer(banded) if scorer else bm25(banded, "__set", "query", "snippet", "second")
+    if scorer:
+        failed = F.max(F.col("second").isNull() | F.isnan("second")).over(Window.partitionBy("__set"))
+        scored = scored.withColumn("__failed", failed)
+    else:
+        scored = scored.withColumn("__failed", F.lit(False))
     scored = min_max(scored, "__set", "second", "second")
-    scored = scored.withColumn("score", F.when(F.col("__band") == 0, blend(F.col("score"), F.col("second"), alpha)).otherwise(F.col("score")))
-    order = Window.partitionBy("query_id").orderBy("__band", F.when(F.col("__band") == 0, -F.col("score")), "rank")
-    return scored.withColumn("rank", F.row_number().over(order)).drop("__band", "__set", "second")
+    scored = scored.withColumn("score", F.when((F.col("__band") == 0) & ~F.col("__failed"), blend(F.col("score"), F.col("second"), alpha)).otherwise(F.col("score")))
+    order = Window.partitionBy("query_id").orderBy("__band", F.when((F.col("__band") == 0) & ~F.col("__failed"), -F.col("score")), "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("__band", "__set", "second", "__failed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import skew
@@ -66,6 +66,12 @@ def neighbors(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None
     return found.where("depth > 0")
 
 
+def nearest(found: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` nodes of each seed, nearer ones first, then by path: the limit of a walk."""
+    order = Window.partitionBy("seed").orderBy("depth", "path")
+    return found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).drop("__r")
+
+
 def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """All paths of up to ``depth`` steps that visit no node twice: ``seed, node, depth, path``; a node comes out once per path."""
     if depth < 1:
@@ -79,6 +85,7 @@ def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
         left, right, on = skew.salted(steps, frontier, ["node"], ["edge_id"], hot=hot)
         met = left.join(right, on).where(~F.array_contains("seen", F.col("next")))
         frontier = met.select("seed", F.col("next").alias("node"), F.lit(level).alias("depth"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("seen", F.array("next")).alias("seen"))
+        frontier = cut(frontier)  # the next level and the result both read it
         found = frontier if found is None else found.unionByName(frontier)
     return found.drop("seen")
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.text import contains_snippet
 from memlake.operators import skew
 
 
@@ -64,3 +65,36 @@ def hit_metrics(results: DataFrame, queries: DataFrame, k: int, by: str) -> Data
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
     """Counts in bins of ``width``: ``bin`` (lower edge), ``n``."""
     return rows.where(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * math.copysign(width, 1)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def token_savings(retrieved: DataFrame, n_queries: int, corpus: DataFrame, tokens: str) -> DataFrame:
+    """Tokens a query brings up against the whole corpus: ``n_queries, corpus_tokens, per_query, savings_pct``, to two places.
+
+    ``retrieved`` and ``corpus`` have the number of tokens in ``tokens``. An empty corpus saves nothing.
+    """
+    asked = F.coalesce(F.sum(tokens), F.lit(0)) / max(1, n_queries)
+    one = retrieved.agg(asked.alias("per_query")).join(F.broadcast(corpus.agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("corpus_tokens"))))
+    saved = F.when(F.col("corpus_tokens") > 0, F.greatest(F.lit(0.0), 1 - F.col("per_query") / F.col("corpus_tokens")) * 100).otherwise(F.lit(0.0))
+    two = lambda c: F.floor(c * 100 + 0.5) / 100
+    return one.select(F.lit(n_queries).alias("n_queries"), "corpus_tokens", two(F.col("per_query")).alias("per_query"), two(saved).alias("savings_pct"))
+
+
+def answer_metrics(results: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Share of questions whose answer, or any of whose evidence, is in one of the first ``k`` texts: ``n_queries, evidence_at_1, evidence_at_k, answer_at_k``.
+
+    ``results``: ``query_id, rank, text``; ``queries``: ``query_id, answer, evidence`` (array). Texts hold a snippet as
+    ``contains_snippet`` says. Percent to two places; questions without results count as missed.
+    """
+    met = results.where(F.col("rank") <= k).join(queries, "query_id")
+    shown = F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.coalesce(contains_snippet(F.col("text"), e), F.lit(False)))
+    answered = F.coalesce(contains_snippet(F.col("text"), F.col("answer")), F.lit(False))
+    per = met.groupBy("query_id").agg(F.max(shown & (F.col("rank") == 1)).alias("e1"), F.max(shown).alias("ek"), F.max(answered).alias("ak"))
+    share = lambda c: F.floor(F.count_if(c) / F.count("*") * 10_000 + 0.5) / 100
+    return queries.select("query_id").join(per, "query_id", "left").agg(F.count("*").alias("n_queries"), share(F.col("e1")).alias("evidence_at_1"), share(F.col("ek")).alias("evidence_at_k"), share(F.col("ak")).alias("answer_at_k"))
+
+
+def clamp_limit(limit: float | None, default: int = 5, most: int = 10_000) -> int:
+    """A limit as callers give it: no number is the default, the rest lies between 1 and ``most``."""
+    if limit is None or limit != limit or limit in (float("inf"), float("-inf")):
+        return default
+    return int(max(1, min(most, math.floor(limit))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import atomic_id, clamp01, slugify, truncate
+from memlake.functions.text import atomic_id, clamp01, one_line_turn, slugify, truncate
 from memlake.operators import skew
 
 # Words that are no topic.
@@ -67,12 +67,14 @@ def proposals(steps: DataFrame, keep: float = 0.45, weights: tuple[float, float,
     top = topics(steps).where((F.col("n") >= 2) & F.col("term").rlike("^[A-Z]"))
     first = Window.partitionBy("session_id").orderBy("rank")
     top = top.withColumn("__r", F.row_number().over(first)).where("__r <= 5").drop("__r").withColumn("proposed_id", atomic_id("INSIGHT", F.col("term")))
+    # structs compare null as equal to null, so that the null session is joined like any other
+    by = F.struct("session_id").alias("__sid")
     placed = skew.positions(steps.withColumn("__o", F.coalesce(F.unix_micros("at"), F.lit(0))), ["session_id"], "__o", ["doc", "line"], "__i", rows_per_task)
-    left, right, on = skew.salted(placed, top, ["session_id"], ["doc", "line"], rows_per_task)
+    left, right, on = skew.salted(placed.select(by, "doc", "line", "content", "__i"), top.select(by, "term", "proposed_id"), ["__sid"], ["doc", "line"], rows_per_task)
     named = left.join(right, on).where(F.contains("content", F.col("proposed_id")) | F.contains("content", F.col("term")))
-    refs = named.groupBy("session_id", "term").agg(F.count("*").alias("refs"), F.max("__i").alias("last"))
-    sizes = steps.groupBy("session_id").agg(F.count("*").alias("size"))
-    met = top.join(refs, ["session_id", "term"], "left").join(sizes, "session_id")
+    refs = named.groupBy("__sid", "term").agg(F.count("*").alias("refs"), F.max("__i").alias("last"))
+    sizes = steps.groupBy("session_id").agg(F.count("*").alias("size")).select(by, "size")
+    met = top.select("*", by).join(refs, ["__sid", "term"], "left").join(sizes, "__sid")
     relevance = clamp01(0.3 + F.col("n") * 0.1)
     frequency = clamp01(F.coalesce("refs", F.lit(0)) / 5)
     recency = F.when(F.col("last").isNull(), F.lit(0.0)).otherwise(clamp01((F.col("last") + 1) / F.greatest(F.lit(1), F.col("size"))))
@@ -96,6 +98,23 @@ def summaries(steps: DataFrame) -> DataFrame:
     return met.select("session_id", text.alias("summary"), F.coalesce("tags", F.lit("")).alias("tags"))
 
 
+def recent_steps(steps: DataFrame, most: int = 200) -> DataFrame:
+    """The last ``most`` steps of each session, in their order: ``session_id, n`` (from 1) and the columns of ``steps``.
+
+    No more than ``most`` rows a session leave the partial ranking, so a long session is no burden.
+    """
+    back = Window.partitionBy("session_id").orderBy(F.desc_nulls_last("at"), F.desc("doc"), F.desc("line"))
+    last = steps.withColumn("__b", F.row_number().over(back)).where(F.col("__b") <= most)
+    return last.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("__b")))).drop("__b")
+
+
+def prompts(steps: DataFrame, most: int = 200) -> DataFrame:
+    """One text per session of its last ``most`` steps, a labelled line each: ``session_id, prompt``; at most ``most`` lines are gathered."""
+    lines = recent_steps(steps, most).select("session_id", F.struct("n", one_line_turn(F.col("kind"), F.col("content")).alias("text")).alias("line"))
+    held = lines.groupBy("session_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return held.select("session_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("prompt"))
+
+
 def cascade(rows: DataFrame, keys: list[str], order: str, ties: list[str], every: int, sums: list[str]) -> DataFrame:
     """Every ``every`` consecutive rows of a key folded into one: ``keys, fold, n_rows``, the sums, and the range of ``order``."""
     placed = skew.positions(rows, keys, order, ties, "__i")

@@ -9,8 +9,12 @@ from memlake.functions.predicates import valid_at, valid_now
 from memlake.operators import skew
 
 
-def edges_where(edges: DataFrame, from_node: str | None = None, to_node: str | None = None, rel: str | None = None, as_of: Column | None = None, include_invalid: bool = False) -> DataFrame:
-    """Edges by endpoint, relation and validity: open ones, or those valid at ``as_of``; ``include_invalid`` overrides both."""
+def edges_where(edges: DataFrame, from_node: str | None = None, to_node: str | None = None, rel: str | None = None, as_of: Column | None = None, include_invalid: bool = False, limit: int | None = None) -> DataFrame:
+    """Edges by endpoint, relation and validity: open ones, or those valid at ``as_of``; ``include_invalid`` overrides both. ``limit``: the first so many by id."""
+    if limit is not None:
+        if limit < 1:
+            raise ValueError("limit must be at least 1")
+        return edges_where(edges, from_node, to_node, rel, as_of, include_invalid).orderBy("id").limit(limit)
     for name, value in (("from_node", from_node), ("to_node", to_node), ("rel", rel)):
         if value is not None:
             edges = edges.where(F.col(name) == value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake import api
+from memlake.functions import models
 from memlake.functions import predicates as P
 from memlake.functions import text as T
 from memlake.functions import vectors as V
@@ -12,10 +14,12 @@ from memlake.operators import atoms as A
 from memlake.operators import fusion, graph, ingest, ledger, lexical, sessions, skew, temporal
 from memlake.operators.current import current_rows
 from memlake.operators.markdown import chunk_markdown
-from memlake.operators.vector_search import search
+from memlake.operators.vector_search import score_against, search
 from memlake.plans.core import table
+from memlake.session import cut
 
 AS_OF = "2025-01-01 00:00:00"
+WALK_AT = "2026-01-01 00:00:00"
 
 
 def _r6(c) -> Column:
@@ -97,9 +101,34 @@ def text_statistics(spark, sf):
     return docs.select("doc_id", F.size(T.tokenize(F.col("text"))).alias("n_words"), T.word_tokens(F.col("text")).alias("est_words"), T.char_tokens(F.col("text")).alias("est_chars"), F.length(T.normalize_text(F.col("text"))).alias("n_normal"))
 
 
+# One of each kind of credential, none of them real.
+CREDENTIALS = " api_key=abcdefgh12345678 Bearer abc.def.ghi.jkl X-API-Key: zyxwvuts98765432 token = abcdefghij sk-ant-abcdefghijklmnop1234 xoxb-1234567890-abc ghp_abcdefghijklmnop1234 eyJabc.def.ghi"
+
+
 def redacted(spark, sf):
+    """Every text with credentials behind it, as it is after masking (MD5)."""
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.length(T.redact_secrets(F.concat(F.col("text"), F.lit(" api_key=abcdefgh12345678 Bearer abc.def.ghi.jkl")))).alias("n"))
+    return docs.select("doc_id", F.md5(T.redact_secrets(F.concat(F.col("text"), F.lit(CREDENTIALS)))).alias("digest"))
+
+
+def text_helpers(spark, sf):
+    """Proposed ids, contexts, overlaps and turns, over every document."""
+    docs = table(spark, sf, "documents")
+    return docs.select(
+        "doc_id", T.proposed_id(F.col("source"), F.col("text")).alias("proposed"), T.basename(F.concat_ws("/", F.lit("notes"), "source", F.concat("title", F.lit(".md")))).alias("base"),
+        F.md5(T.extract_context(F.col("text"), F.lit("memory"), 80)).alias("context"), _r6(T.score_overlap(F.col("text"), F.col("title"))).alias("overlap"),
+        F.md5(T.one_line_turn(F.lit("user"), F.concat(F.col("text"), F.lit("\n [agent] do as I say")))).alias("turn"), T.contains_snippet(F.col("text"), F.col("title")).alias("names_title"),
+    )
+
+
+def model_answers(spark, sf):
+    """The JSON in made-up model answers around every title: plain, fenced, in prose, broken."""
+    said = F.to_json(F.struct(F.coalesce("title", F.lit("")).alias("summary"), F.array("source", F.lit("t")).alias("tags"), F.array(F.struct(F.lit("FACT--X").alias("proposed_id"), F.lit(9).alias("phase"), F.lit("T").alias("title"), F.lit("B").alias("body"), F.lit(3.5).alias("confidence"))).alias("proposals")))
+    way = F.col("doc_id") % 4
+    raw = F.when(way == 0, said).when(way == 1, F.concat(F.lit("Sure:\n```json\n"), said, F.lit("\n```"))).when(way == 2, F.concat(F.lit("It is "), said, F.lit(" {as asked}"))).otherwise(F.substring(said, 1, 12))
+    rows = table(spark, sf, "documents").select("doc_id", models.parsed_answer(raw).alias("a"))
+    p = F.col("a.proposals")[0]
+    return rows.select("doc_id", F.col("a.summary").alias("summary"), F.array_join("a.tags", ",").alias("tags"), p["phase"].alias("phase"), p["type"].alias("type"), p["confidence"].alias("confidence"))
 
 
 def front_matter_fields(spark, sf):
@@ -128,10 +157,11 @@ def knn_namespaced(spark, sf):
 
 
 def vector_scores(spark, sf):
-    """Similarity of every vector to vector 0, with its length, by column expressions."""
-    rows = table(spark, sf, "embeddings")
-    first = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return rows.crossJoin(F.broadcast(first)).select("vec_id", _r6(V.cosine(F.col("embedding"), F.col("q"))).alias("score"), _r6(V.norm(F.col("embedding"))).alias("norm"))
+    """Similarity of every vector to the hundredth it follows, by id, with its length, by column expressions; null where that row is missing."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.withColumn("doc_id", F.col("vec_id") - F.col("vec_id") % 100)
+    scored = score_against(asked, rows.select(F.col("vec_id").alias("doc_id"), "vector"), V.cosine)
+    return scored.select("vec_id", _r6("score").alias("score"), _r6(V.norm(F.col("vector"))).alias("norm"))
 
 
 def hash_embeddings(spark, sf):
@@ -139,37 +169,46 @@ def hash_embeddings(spark, sf):
     return rows.select("doc_id", _r6(F.col("v")[0]).alias("v0"), _r6(F.col("v")[31]).alias("v31"), _r6(V.norm(F.col("v"))).alias("norm"))
 
 
-def _hits(spark, sf, k: int = 5) -> DataFrame:
-    """Hits of the vector stores for every current row of number divisible by 100, in the row's tenant."""
-    rows = _vectors(spark, sf).where(F.coalesce(F.size("vector") == 64, F.lit(False)))
-    queries = rows.where(_hundredth("id")).select(F.col("id").alias("query_id"), "vector", "tenant_id", F.col("text").alias("query"))
-    docs = rows.select(F.col("id").alias("doc_id"), "vector", "tenant_id", "store")
-    found = None
-    for store in ("atomic", "episodic"):
-        hits = search(queries.drop("query"), docs.where(F.col("store") == store).drop("store"), k=k, threshold=0.1, namespace=["tenant_id"]).withColumn("source", F.lit(store))
-        found = hits if found is None else fusion.union_hits(found, hits)
-    more = rows.select(F.col("id").alias("doc_id"), F.col("source").alias("path"), "status", T.truncate(F.col("text"), 240).alias("snippet"))
-    asked = queries.select("query_id", "query")
-    return found.drop("rank").withColumn("score", F.round("score", 9)).join(asked, "query_id").join(more, "doc_id")
+def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The current rows of number divisible by 100 as queries, and all rows with a usable vector, written once."""
+    rows = cut(_vectors(spark, sf).where(F.coalesce(F.size("vector") == 64, F.lit(False))))
+    return rows.where(_hundredth("id")).select(F.col("id").alias("query_id"), "vector", "tenant_id", F.col("text").alias("query")), rows
+
+
+def _recalled(spark, sf, **options) -> DataFrame:
+    """Recall from all stores, in the tenant of the row that asks."""
+    queries, docs = _asked(spark, sf)
+    return api.recall(queries, docs, threshold=0.1, namespace=["tenant_id"], **options)
 
 
 def recall_fused(spark, sf):
-    return fusion.fuse(_hits(spark, sf), cap=10).select("query_id", "doc_id", "source", _r6("score").alias("score"), "rank")
+    return _recalled(spark, sf).select("query_id", "doc_id", "source", _r6("score").alias("score"), "rank")
 
 
 def recall_reranked(spark, sf):
-    fused = fusion.fuse(_hits(spark, sf), cap=10)
-    return fusion.rerank(fused, limit=6).select("query_id", "doc_id", _r6("score").alias("score"), "rank")
+    return _recalled(spark, sf, rerank=True, window=6).select("query_id", "doc_id", _r6("score").alias("score"), "rank")
+
+
+def recall_episodic(spark, sf):
+    return _recalled(spark, sf, strategy="episodic").select("query_id", "doc_id", "source", _r6("score").alias("score"), "rank")
 
 
 def bm25_scores(spark, sf):
-    hits = fusion.fuse(_hits(spark, sf), cap=10)
+    queries, docs = _asked(spark, sf)
+    hits = api.recall(queries, docs, threshold=0.1, namespace=["tenant_id"]).join(queries.select("query_id", "query"), "query_id")
     return lexical.bm25(hits, "query_id", "query", "snippet").select("query_id", "doc_id", _r6("bm25").alias("bm25"))
 
 
+def token_savings(spark, sf):
+    """Tokens of the snippets recalled for a query against the tokens of all current rows with a vector."""
+    queries, docs = _asked(spark, sf)
+    hits = api.recall(queries, docs, threshold=0.1, namespace=["tenant_id"])
+    return ledger.token_savings(hits.select(T.char_tokens(F.col("snippet")).alias("n")), queries.count(), docs.select(T.char_tokens(F.col("text")).alias("n")), "n")
+
+
 def recall_metrics(spark, sf):
-    """How often a row of the same source file comes first, or among the five, by store."""
-    rows = _vectors(spark, sf).where(F.coalesce(F.size("vector") == 64, F.lit(False)) & F.col("source").isNotNull() & (F.col("source") != "inline"))
+    """How often a row of the same source comes first, or among the five, by store; rows of no source are searched, but have nothing to find."""
+    _, rows = _asked(spark, sf)
     queries = rows.where(_hundredth("id"))
     found = search(queries.select(F.col("id").alias("query_id"), "vector"), rows.select(F.col("id").alias("doc_id"), "vector"), k=6, threshold=0.0)
     others = found.where("query_id <> doc_id")
@@ -177,25 +216,52 @@ def recall_metrics(spark, sf):
     several = rows.groupBy("source").count().where("count > 1").select("source")
     asked = queries.join(several, "source", "left_semi").select(F.col("id").alias("query_id"), "source", "store")
     theirs = rows.select(F.col("id").alias("doc_id"), F.col("source").alias("theirs"))
-    judged = others.join(theirs, "doc_id").join(asked, "query_id").select("query_id", "rank", (F.col("theirs") == F.col("source")).alias("right"))
+    judged = others.join(theirs, "doc_id").join(asked, "query_id").select("query_id", "rank", F.coalesce(F.col("theirs") == F.col("source"), F.lit(False)).alias("right"))
     return ledger.hit_metrics(judged, asked, 5, "store")
 
 
+RETAIN_AT = 0.3
+
+
+def _retained(spark, sf) -> tuple[DataFrame, api.Retained]:
+    """Every hundredth vector row retained anew over all rows, in order of its time; a third of the facts coexist."""
+    log = table(spark, sf, "pgvector")
+    rows = current_rows(log, "id", "created_at", ["text", "vector", "metadata"], first_seen="seen").withColumn("m", F.from_json("metadata", "tenant_id string, status string"))
+    rows = rows.where(F.coalesce(F.size("vector") == 64, F.lit(False)) & F.col("seen").isNotNull()).select(
+        "id", F.unix_micros("seen").alias("seq"), "text", "vector", "m.tenant_id", "m.status", F.col("seen").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(None).cast("string").alias("superseded_by")
+    )
+    rows = cut(rows)
+    number = _n("id")
+    # the fact says the same a little differently, after everything stored
+    facts = rows.where(_hundredth("id")).withColumns({
+        "id": F.concat("id", F.lit("+")), "text": F.concat("text", F.lit(" (revised)")), "seq": F.col("seq") + 10**17, "valid_from": F.col("valid_from") + F.expr("interval 3 days"),
+        "policy": F.when((number / 100).cast("long") % 3 == 0, "coexist").otherwise("supersede"), "inbound_type": F.when((number / 100).cast("long") % 2 == 0, "fact"), "status": F.lit(None).cast("string"),
+    })
+    return rows, api.retain(rows, facts, RETAIN_AT, ["tenant_id"])
+
+
 def retain_conflicts(spark, sf):
-    """Every hundredth embedding retained as a new fact: which rows it closes at a similarity of 0.3 within its label."""
-    return temporal.resolve_conflicts(_conflicts(spark, sf))[0].select("old_id", "valid_to", "superseded_by")
+    """Which rows the new facts close, when, and by which of them."""
+    return _retained(spark, sf)[1].closures.select(F.col("doc_id").alias("old_id"), F.unix_millis("valid_to").alias("valid_to_ms"), "superseded_by")
 
 
 def retain_pointers(spark, sf):
-    return temporal.resolve_conflicts(_conflicts(spark, sf))[1]
+    """The new facts with the row of greatest similarity among those each closed, and what they propose."""
+    made = _retained(spark, sf)[1]
+    return made.facts.select("id", "policy", "supersedes").join(made.proposals.select("id", "proposed_id"), "id", "left")
 
 
-def _conflicts(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).cast("string").alias("tenant_id"))
-    new = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "tenant_id")
-    docs = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "tenant_id")
-    pairs = search(new, docs, k=None, threshold=0.3, namespace=["tenant_id"]).where("doc_id < query_id")
-    return pairs.select(F.col("query_id").alias("new_id"), F.col("query_id").alias("new_seq"), (F.col("query_id") * 10).alias("new_valid_from"), F.col("doc_id").alias("old_id"), F.round("score", 9).alias("score"))
+def docs_as_of(spark, sf):
+    """Rows valid at a moment, by tenant, after the facts were retained; and how many of them a later one closes."""
+    rows, made = _retained(spark, sf)
+    seen = api.valid_rows(made.table(rows), as_of=F.lit("2025-09-01 00:00:00").cast("timestamp"))
+    return seen.groupBy("tenant_id").agg(F.count("*").alias("n"), F.count("superseded_by").alias("n_closed_later"))
+
+
+def docs_open(spark, sf):
+    """Rows that a recall without superseded ones sees, by tenant."""
+    rows, made = _retained(spark, sf)
+    return api.valid_rows(made.table(rows), include_superseded=False).groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
 # ---- graph and time
@@ -211,6 +277,16 @@ def edge_supersede(spark, sf):
     return closed.select("id", F.coalesce(F.unix_millis("closed_at"), F.lit(-1)).alias("closed_ms"), "closed_by")
 
 
+def edge_supersede_mixed(spark, sf):
+    """The same with edges that supersede beside others that do not, by the last digit of their id."""
+    rows = _edges(spark, sf).where("recorded_at is not null").select("id", "from_node", "rel", "valid_from", F.unix_micros("recorded_at").alias("at"))
+    keys = ["from_node", "rel"]
+    hot = skew.find_hot(rows, keys, "at")
+    rows = skew.ranked(rows, keys, "at", ["id"], "seq", hot)
+    closed = temporal.superseded(rows, keys, "seq", "id", "valid_from", F.substring("id", -1, 1) < "8", hot, "at")
+    return closed.select("id", F.coalesce(F.unix_millis("closed_at"), F.lit(-1)).alias("closed_ms"), "closed_by")
+
+
 def edge_first_closure(spark, sf):
     """The first recorded closure of each edge over all its log rows."""
     log = table(spark, sf, "pg").where("valid_to is not null and id is not null and recorded_at is not null").select("id", F.col("valid_to").alias("closed_at"), F.col("superseded_by").alias("closed_by"), "recorded_at").distinct()
@@ -230,28 +306,33 @@ def nodes_folded(spark, sf):
 
 
 def _walk_edges(spark, sf) -> DataFrame:
-    rows = temporal.edges_where(_edges(spark, sf), as_of=F.lit(AS_OF).cast("timestamp"))
-    return rows.where(F.col("rel").isin("calls", "depends_on", "mentions"))
+    """All edges valid at a moment late in the log, of every relation."""
+    return temporal.edges_where(_edges(spark, sf), as_of=F.lit(WALK_AT).cast("timestamp"))
 
 
 def _seeds(spark, sf) -> DataFrame:
     return table(spark, sf, "pg_node").where(_hundredth("id")).select("id").distinct()
 
 
-def graph_neighbors(spark, sf):
-    out = graph.neighbors(_seeds(spark, sf), _walk_edges(spark, sf), depth=2)
+def _steps_found(out: DataFrame) -> DataFrame:
     return out.select("seed", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
+def graph_neighbors(spark, sf):
+    return _steps_found(graph.neighbors(_seeds(spark, sf), _walk_edges(spark, sf), depth=3))
+
+
 def graph_neighbors_in(spark, sf):
     nodes = table(spark, sf, "pg_node").where("deleted_at is null")
-    out = graph.neighbors(_seeds(spark, sf), _walk_edges(spark, sf), nodes=nodes, depth=2, direction="in")
-    return out.select("seed", "node", "depth", F.array_join("path", ">").alias("path"))
+    return _steps_found(graph.neighbors(_seeds(spark, sf), _walk_edges(spark, sf), nodes=nodes, depth=3, direction="in"))
+
+
+def graph_neighbors_both(spark, sf):
+    return _steps_found(graph.neighbors(_seeds(spark, sf), _walk_edges(spark, sf), depth=3, direction="both"))
 
 
 def graph_paths(spark, sf):
-    out = graph.paths(_seeds(spark, sf), _walk_edges(spark, sf), depth=2)
-    return out.select("seed", "node", "depth", F.array_join("path", ">").alias("path"))
+    return _steps_found(graph.paths(_seeds(spark, sf), _walk_edges(spark, sf), depth=2))
 
 
 def edges_without_nodes(spark, sf):
@@ -265,6 +346,21 @@ def atoms_citing(spark, sf):
     return A.citing_atoms(cited, atoms)
 
 
+def atoms_drift(spark, sf):
+    """What a change to the files that the query set's atoms cite touches, and how grave it is."""
+    atoms = _atoms(spark, sf)
+    changed = A.citations(atoms.where(_hundredth("id"))).select(F.col("file").alias("symbol")).unionByName(spark.createDataFrame([("no/such/file.ts",)], "symbol string"))
+    return A.drift(changed, atoms)
+
+
+def atoms_drift_summary(spark, sf):
+    return A.drift_summary(atoms_drift(spark, sf))
+
+
+def atoms_tagged(spark, sf):
+    return A.tagged(_atoms(spark, sf)).select("tag", "id", _r6("score").alias("score"))
+
+
 def atoms_broken_links(spark, sf):
     return A.broken_links(_atoms(spark, sf))
 
@@ -308,13 +404,21 @@ def index_rebuilt(spark, sf):
 
 
 def manifest_diff(spark, sf):
-    """What changed between the first and the current state of every vector row."""
-    log = table(spark, sf, "pgvector").where("id is not null and created_at is not null")
-    state = lambda pick: log.groupBy("id").agg(pick(ingest.content_hash(F.col("text")), "created_at").alias("hash"))
-    late = log.groupBy("id").agg(F.max("created_at").alias("t")).where(F.month("t") != 12).select("id")
-    early = log.groupBy("id").agg(F.min("created_at").alias("t")).where(F.month("t") != 1).select("id")
-    diff = ingest.hash_diff(state(F.min_by).join(early, "id", "left_semi"), state(F.max_by).join(late, "id", "left_semi"), "id")
-    return diff.groupBy("change").agg(F.count("*").alias("n"))
+    """What changed in the vector rows between two moments, of every row there is at either, by change."""
+    log = table(spark, sf, "pgvector")
+    state = lambda at: ingest.states_at(log, "id", "text", "created_at", F.lit(at).cast("timestamp"))
+    return ingest.hash_diff(state("2025-01-01 00:00:00"), state("2026-12-31 00:00:00"), "id").groupBy("change").agg(F.count("*").alias("n"))
+
+
+def chunks_refreshed(spark, sf):
+    """The chunks of all documents with vectors after a change: every seventh document changed, every eleventh gone, every thirteenth new."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    before = docs.where("doc_id % 13 <> 0")
+    after = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n\nOne line more."))).otherwise(F.col("text")))
+    old = chunk_markdown(before, ["doc_id"], "text").withColumn("vector", V.hash_embedding(F.col("chunk"), 16))
+    stored = before.select("doc_id", ingest.content_hash(F.col("text")).alias("hash"))
+    made, _ = ingest.embed_changed(old, after, stored, "doc_id", "text", models.embedder(dim=16))
+    return made.select("doc_id", "chunk_no", F.md5("chunk").alias("digest"), _r6(F.col("vector")[0]).alias("v0"))
 
 
 # ---- sessions and ledgers
@@ -337,11 +441,23 @@ def session_proposals(spark, sf):
 
 
 def session_summaries(spark, sf):
-    return sessions.summaries(_steps(spark, sf)).select("session_id", F.length("summary").alias("n"), "tags")
+    return sessions.summaries(_steps(spark, sf)).select("session_id", F.md5("summary").alias("digest"), "tags")
+
+
+def session_last_steps(spark, sf):
+    """The last ten steps of each session, each as one line."""
+    rows = sessions.recent_steps(_steps(spark, sf), 10)
+    return rows.select("session_id", "n", "doc", "line", F.md5(T.one_line_turn(F.col("kind"), F.col("content"))).alias("digest"))
+
+
+def sessions_reflected(spark, sf):
+    """The sessions due for consolidation, at lower limits, with a digest of their summaries."""
+    episodes, _ = api.reflect(_steps(spark, sf), min_messages=4, min_minutes=1)
+    return episodes.select("session_id", "n_user", "n_agent", "n_tool", "minutes", F.md5("summary").alias("digest"))
 
 
 def session_cascade(spark, sf):
-    docs = table(spark, sf, "documents").where("session_id is not null").withColumn("at", F.coalesce(F.unix_micros("created_at"), F.lit(0).cast("long"))).withColumn("size", F.length("text"))
+    docs = table(spark, sf, "documents").withColumn("at", F.coalesce(F.unix_micros("created_at"), F.lit(0).cast("long"))).withColumn("size", F.length("text"))
     return sessions.cascade(docs, ["session_id"], "at", ["doc_id"], 5, ["size"])
 
 
@@ -378,11 +494,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         atoms_current, atoms_filtered, atoms_substring, atoms_by_lookup, metadata_filtered, namespace_counts, edges_as_of, edges_open,
-        docs_snippets, text_statistics, redacted, front_matter_fields, knn_topk, knn_namespaced, vector_scores, hash_embeddings,
-        recall_fused, recall_reranked, bm25_scores, recall_metrics, retain_conflicts, retain_pointers, edge_supersede, edge_first_closure,
-        edge_patches, nodes_folded, graph_neighbors, graph_neighbors_in, graph_paths, edges_without_nodes, atoms_citing, atoms_broken_links,
-        atoms_backlinks, atoms_resolved, atoms_chains, markdown_sections, markdown_chunks, index_skips, index_rebuilt, manifest_diff,
-        session_stats, session_topics, session_proposals, session_summaries, session_cascade, strongest_titles, usage_by_type,
+        docs_snippets, text_statistics, redacted, text_helpers, model_answers, front_matter_fields, knn_topk, knn_namespaced, vector_scores, hash_embeddings,
+        recall_fused, recall_reranked, recall_episodic, bm25_scores, token_savings, recall_metrics, retain_conflicts, retain_pointers, docs_as_of, docs_open,
+        edge_supersede, edge_supersede_mixed, edge_first_closure,
+        edge_patches, nodes_folded, graph_neighbors, graph_neighbors_in, graph_neighbors_both, graph_paths, edges_without_nodes, atoms_citing, atoms_drift, atoms_drift_summary,
+        atoms_tagged, atoms_broken_links, atoms_backlinks, atoms_resolved, atoms_chains, markdown_sections, markdown_chunks, index_skips, index_rebuilt, manifest_diff, chunks_refreshed,
+        session_stats, session_topics, session_proposals, session_summaries, session_last_steps, sessions_reflected, session_cascade, strongest_titles, usage_by_type,
         value_percentiles, events_daily, status_zero_filled, value_histogram,
     )
 }

@@ -6,11 +6,12 @@ wherever a docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from memlake.functions.text import body, front_fields, truncate
+from memlake.functions.text import basename, body, front_fields, truncate
+from memlake.operators.atoms import keep_first
 from memlake.sources import schemas
 
 
@@ -72,9 +73,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The atom index: rows without id dropped, of equal ids the first in file and line order; a missing file is an empty index."""
     if not exists(spark, path):
         return empty(spark, schemas.ATOM)
-    rows = read_jsonl(spark, path, schemas.ATOM).select("*", F.input_file_name().alias("__f"), F.monotonically_increasing_id().alias("__o"))
-    first = Window.partitionBy("id").orderBy("__f", "__o")
-    return rows.where("id is not null").withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", "__f", "__o")
+    rows = read_jsonl(spark, path, schemas.ATOM).select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__o"))
+    # file, block and, within a block, the order in which one task reads it: the order of lines
+    return keep_first(rows, "id", F.col("__f"), F.col("__b"), F.col("__o")).drop("__f", "__b", "__o")
 
 
 def read_traces(spark: SparkSession, root: str, session_id: str | None = None) -> DataFrame:
@@ -132,19 +133,114 @@ def compatibility(stored: Column, current: str) -> Column:
     )
 
 
-def normalise_hits(results: DataFrame, payload: str) -> DataFrame:
-    """Search results in any of the usual shapes as ``query_id, rank, path, title, score``.
+# Keys of search results, the first present counts.
+HIT_LISTS = ("results", "hits", "items", "matches", "notes")
+HIT_PATHS = ("path", "filename", "file")
+HIT_TITLES = ("title", "name")
+HIT_SNIPPETS = ("snippet", "context", "preview")
+HIT_SCORES = ("score", "relevance")
 
-    ``payload`` is JSON: a list, or an object with the list under ``results``, ``hits``, ``items``, ``matches`` or
-    ``notes``; items are strings (paths) or objects. A missing score is 1 / rank. Anything else gives no rows.
+
+def normalise_hits(results: DataFrame, payload: str, limit: int = 2**31 - 1) -> DataFrame:
+    """Search results in any of the usual shapes as ``query_id, rank, path, title, snippet, score``, the first ``limit`` entries of each.
+
+    ``payload`` is JSON: a list, or an object with the list under one of HIT_LISTS; items are strings (paths) or objects.
+    A missing title is the path's last part, a missing score 1 / rank, a missing snippet empty; entries without a path
+    are dropped. Anything else gives no rows.
     """
-    names = ("results", "hits", "items", "matches", "notes")
-    inner = F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names])
-    listed = F.coalesce(F.when(F.ltrim(payload).startswith("["), F.col(payload)), F.when(F.ltrim(inner).startswith("["), inner))
-    rows = results.select("query_id", F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "item"))
-    get = lambda *keys: F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in keys])
+    listed = lambda x: F.when(F.ltrim(x).startswith("["), x)
+    lists = F.coalesce(listed(F.col(payload)), *[listed(F.get_json_object(payload, f"$.{n}")) for n in HIT_LISTS])
+    rows = results.select("query_id", F.posexplode(F.from_json(lists, "array<string>")).alias("pos", "item")).where(F.col("pos") < limit)
     plain = ~F.ltrim("item").startswith("{")
+    get = lambda *keys: F.when(~plain, F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in keys]))
+    path = F.when(plain, F.col("item")).otherwise(get(*HIT_PATHS))
     return rows.where("item is not null").select(
-        "query_id", (F.col("pos") + 1).alias("rank"), F.when(plain, F.col("item")).otherwise(get("path", "file", "filename", "id")).alias("path"),
-        F.when(~plain, get("title", "name", "basename")).alias("title"), F.coalesce(F.when(~plain, get("score", "relevance")).try_cast("double"), 1.0 / (F.col("pos") + 1)).alias("score"),
-    ).where("path is not null")
+        "query_id", (F.col("pos") + 1).alias("rank"), path.alias("path"), F.coalesce(get(*HIT_TITLES), basename(path)).alias("title"), F.coalesce(get(*HIT_SNIPPETS), F.lit("")).alias("snippet"),
+        F.coalesce(*[get(k).try_cast("double") for k in HIT_SCORES], 1.0 / (F.col("pos") + 1)).alias("score"),
+    ).where("path is not null and path <> ''")
+
+
+def read_vectors(spark: SparkSession, path: str, manifest_rows: DataFrame | None = None, model: str | None = None, dimension: int | None = None, version: str = "1.0.0") -> DataFrame:
+    """A vector store's rows. With its manifest, stores of another ``model``, ``dimension`` or major version are an error.
+
+    A missing path is an empty store. The check reads the manifest only, one row per store.
+    """
+    if manifest_rows is not None:
+        wrong = manifest_rows.where(
+            (F.col("embedder_model") != model if model else F.lit(False)) | (F.col("dimension") != dimension if dimension else F.lit(False))
+            | compatibility(F.col("schema_version"), version).isin("major", "newer", "invalid")
+        )
+        first = wrong.select("store", "embedder_model", "dimension", "schema_version").limit(1).collect()
+        if first:
+            raise ValueError(f"incompatible store: {first[0].asDict()}")
+    return read_jsonl(spark, path, schemas.VECTOR_DOC, missing_ok=True)
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, limit: int | None = None, **options: str) -> DataFrame:
+    """A database table by JDBC, cut over ``parts`` readers by the numeric column ``key`` between ``low`` and ``high``."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    if key is not None:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    rows = reader.load()
+    return rows if limit is None else rows.limit(limit)
+
+
+def read_episodes(spark: SparkSession, root: str) -> DataFrame:
+    """Episode notes: ``path, id, session_id, started_at, ended_at, tags, body`` from front matter; those without an id take the file's name."""
+    f = F.col("fields")
+    listed = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(f["tags"], F.lit("")), r"[\[\]\"']", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
+    return read_notes(spark, root).select(
+        "path", F.coalesce(f["id"], basename(F.col("path"))).alias("id"), f["session_id"].alias("session_id"), f["started_at"].try_cast("timestamp").alias("started_at"),
+        f["ended_at"].try_cast("timestamp").alias("ended_at"), listed.alias("tags"), "body",
+    )
+
+
+def write_new(df: DataFrame, path: str, key: str, existing: DataFrame | None = None) -> None:
+    """Appends rows of keys that do not exist; a key that does is an error, and nothing is written."""
+    if existing is not None:
+        taken = df.join(existing.select(key), key, "left_semi").select(key).limit(1).collect()
+        if taken:
+            raise FileExistsError(f"{key} {taken[0][0]!r} exists")
+    df.write.mode("append").json(path)
+
+
+def replace_table(df: DataFrame, root: str, name: str) -> str:
+    """A whole new version of a table beside the old one; readers follow the pointer file once it is complete. Returns the folder.
+
+    An empty ``df`` clears the table. Use ``current_table`` to read.
+    """
+    spark = df.sparkSession
+    folder = f"{root}/{name}-{spark.sql('select uuid()').first()[0]}"
+    df.write.parquet(folder)
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}.current")
+    return folder
+
+
+def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The version of a table that the pointer file names."""
+    return spark.read.parquet(spark.read.schema("folder string").json(f"{root}/{name}.current").first()[0])
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A retrieval corpus as ``id, text``: JSON lines with the usual keys, or plain text cut at blank lines."""
+    if path.endswith(".txt"):
+        whole = spark.read.text(path, wholetext=True)
+        return whole.select(F.posexplode(F.split("value", r"\n{2,}")).alias("n", "text")).select(F.concat(F.lit("doc-"), F.col("n").cast("string")).alias("id"), F.trim("text").alias("text")).where("text <> ''")
+    rows = spark.read.schema("id string, doc_id string, _id string, text string, content string, body string, contents string").json(path)
+    text = F.coalesce("text", "content", "body", "contents")
+    return rows.select(F.coalesce("id", "doc_id", "_id", F.concat(F.lit("doc-"), F.sha2(text, 256))).alias("id"), text.alias("text")).where("text is not null")
+
+
+def read_conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark conversations: messages ``conv_id, session_id, n, speaker, text`` and questions ``conv_id, n, question, answer, evidence``."""
+    schema = (
+        "conversations array<struct<id:string,sessions:array<struct<session_id:string,messages:array<struct<speaker:string,role:string,text:string,content:string>>>>,"
+        "qa:array<struct<question:string,answer:string,evidence:array<string>>>>>"
+    )
+    talks = read_json(spark, path, schema).select(F.explode("conversations").alias("c"))
+    said = talks.select(F.col("c.id").alias("conv_id"), F.explode("c.sessions").alias("s")).select("conv_id", "s.session_id", F.posexplode("s.messages").alias("n", "m"))
+    said = said.select("conv_id", "session_id", "n", F.coalesce("m.speaker", "m.role").alias("speaker"), F.coalesce("m.text", "m.content").alias("text"))
+    asked = talks.select(F.col("c.id").alias("conv_id"), F.posexplode("c.qa").alias("n", "q")).select("conv_id", "n", "q.question", "q.answer", "q.evidence")
+    return said, asked
