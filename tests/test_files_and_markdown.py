@@ -97,9 +97,16 @@ def test_vectors_manifest_versions(spark):
 
 
 def test_normalise_hits(spark):
-    rows = [("a", '["p1", "p2"]'), ("b", '{"hits": [{"file": "f", "title": "t", "score": 0.4}, {"path": "g"}]}'), ("c", "{}"), ("d", None), ("e", '[{"x": 1}]'), ("f", "[]")]
-    out = files.normalise_hits(spark.createDataFrame(rows, "query_id string, payload string"), "payload").collect()
-    assert {tuple(r) for r in out} == {("a", 1, "p1", None, 1.0), ("a", 2, "p2", None, 0.5), ("b", 1, "f", "t", 0.4), ("b", 2, "g", None, 0.5)}
+    rows = [
+        ("a", '["x/p1.md", "p2"]'), ("b", '{"hits": [{"file": "f", "filename": "first", "title": "t", "score": 0.4, "context": "c"}, {"path": "d/g.MD", "relevance": 2}]}'),
+        ("c", "{}"), ("d", None), ("e", '[{"x": 1}]'), ("f", "[]"), ("g", '{"results": 3, "items": ["i"]}'), ("h", '["1", "2", "3"]'),
+    ]
+    frame = spark.createDataFrame(rows, "query_id string, payload string")
+    out = files.normalise_hits(frame, "payload", 2).collect()
+    assert {tuple(r) for r in out} == {
+        ("a", 1, "x/p1.md", "p1", "", 1.0), ("a", 2, "p2", "p2", "", 0.5), ("b", 1, "first", "t", "c", 0.4), ("b", 2, "d/g.MD", "g", "", 2.0),
+        ("g", 1, "i", "i", "", 1.0), ("h", 1, "1", "1", "", 1.0), ("h", 2, "2", "2", "", 0.5),
+    }
 
 
 def test_current_rows(spark):

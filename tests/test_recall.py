@@ -69,8 +69,10 @@ def test_whole_query_text_is_scored(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "id string, store string, source string, text string, vector array<float>, tenant_id string, status string, session_id string, tokens int")
     monkeypatch.setattr(memory, "_vectors", lambda *_: vectors)
     scores = {r["doc_id"]: r["bm25"] for r in memory.bm25_scores(spark, "").collect()}
-    words = {"c1": 2, "c2": 3, "c3": 30}  # words of two letters or more; of c3 what the cut leaves
-    want = 2 * math.log((3 - 1 + 0.5) / (1 + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * words["c1"] / (sum(words.values()) / 3)))
+    own = sum(len(w) > 1 for w in ("filler " * 60)[:239].split())  # the row that asks is among the candidates
+    words = {"c1": 2, "c2": 3, "c3": 30, "q-0000000000": own}  # words of two letters or more; of long texts what the cut leaves
+    want = 2 * math.log((4 - 1 + 0.5) / (1 + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * words["c1"] / (sum(words.values()) / 4)))
+    assert scores.pop("q-0000000000") > 100
     assert scores == {"c1": pytest.approx(want, abs=1e-6), "c2": 0.0, "c3": 0.0}
     ranked = {r["doc_id"]: r["rank"] for r in memory.recall_reranked(spark, "").collect()}
-    assert ranked == {"c1": 1, "c2": 2, "c3": 3}
+    assert ranked == {"q-0000000000": 1, "c1": 2, "c2": 3, "c3": 4}
