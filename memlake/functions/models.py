@@ -35,14 +35,14 @@ def embedder(encode: Callable[[list[str]], np.ndarray] | None = None, dim: int =
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(texts), dtype=object)
-        there = texts.notna().to_numpy()
-        if there.any():
-            made = np.asarray(encode(texts[there].tolist()), dtype=float)
-            if len(made) != there.sum():
-                raise ValueError("an embedder must give a vector for every text")
-            out[there] = list(made)
-        return out
+        there = np.flatnonzero(texts.notna())
+        made = encode(texts.iloc[there].tolist()) if len(there) else []
+        if len(made) != len(there):
+            raise ValueError("an embedder must give a vector for every text")
+        out: list = [None] * len(texts)
+        for i, v in zip(there, made):
+            out[i] = np.asarray(v, dtype=float)
+        return pd.Series(out, dtype=object)
 
     return lambda text: l2_normalize(run(text))
 

@@ -15,24 +15,35 @@ OPEN = 2**63 - 1
 
 
 class IntervalMap:
-    """Disjoint half-open intervals in order, each with the number of intervals merged into it.
+    """Disjoint half-open intervals in order, each with the number of intervals merged into it, and the gaps between them.
 
-    ``insert`` finds the intervals that overlap or touch the new one by binary search
-    and replaces them by their union; ``gaps`` lists the time between neighbours.
+    ``insert`` finds the intervals that overlap or touch the new one by binary search,
+    replaces them by their union and updates the gaps beside it. Into ``log``, if given, go the rows
+    ``kind, start, end, n, change`` that came (1) and went (-1).
     """
 
-    __slots__ = ("starts", "ends", "counts")
+    __slots__ = ("starts", "ends", "counts", "open")
 
     def __init__(self, starts=(), ends=(), counts=()):
         self.starts, self.ends, self.counts = list(starts), list(ends), list(counts)
+        self.open = list(zip(self.ends[:-1], self.starts[1:]))
 
-    def insert(self, start: int, end: int, n: int = 1) -> None:
+    def insert(self, start: int, end: int, n: int = 1, log: list[tuple] | None = None) -> None:
         lo = bisect_left(self.ends, start)
         hi = bisect_right(self.starts, end)
         if lo < hi:
             start = min(start, self.starts[lo])
             end = max(end, self.ends[hi - 1])
             n += sum(self.counts[lo:hi])
+        beside = [(self.ends[lo - 1], start)] if lo else []
+        if hi < len(self.starts):
+            beside.append((end, self.starts[hi]))
+        first = max(lo - 1, 0)
+        if log is not None:
+            log += [("period", *row, -1) for row in zip(self.starts[lo:hi], self.ends[lo:hi], self.counts[lo:hi])]
+            log += [("gap", *row, 0, -1) for row in self.open[first:hi]]
+            log += [("period", start, end, n, 1), *[("gap", *row, 0, 1) for row in beside]]
+        self.open[first:hi] = beside
         self.starts[lo:hi] = [start]
         self.ends[lo:hi] = [end]
         self.counts[lo:hi] = [n]
@@ -41,11 +52,11 @@ class IntervalMap:
         return zip(self.starts, self.ends, self.counts)
 
     def gaps(self) -> Iterator[tuple[int, int]]:
-        return zip(self.ends[:-1], self.starts[1:])
+        return iter(self.open)
 
 
 def merge_intervals(
-    df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int = skew.ROWS_PER_TASK, probe: DataFrame | None = None
+    df: DataFrame, keys: list[str], start: str, end: str, rows_per_task: int = skew.ROWS_PER_TASK, probe: DataFrame | None = None, count: str | None = None
 ) -> DataFrame:
     """Continuous periods and gaps per entity.
 
@@ -55,7 +66,7 @@ def merge_intervals(
 
     Intervals that overlap or touch form one period. A null ``end`` is open; rows with
     a null ``start`` or an ``end`` not after ``start`` cover nothing and are left out.
-    Null keys form an entity of their own. Repeated rows count as often as they occur.
+    Null keys form an entity of their own. Repeated rows count as often as they occur, or as ``count`` says.
 
     Rows are hash-partitioned by entity and each task keeps the ordered disjoint
     interval map of the entity it is reading; state is one entity at a time. Entities
@@ -66,7 +77,7 @@ def merge_intervals(
     least its rows; large entities are then found in it.
     """
     rows = df.select(
-        *keys, F.unix_micros(start).alias("__s"), F.coalesce(F.unix_micros(end), F.lit(OPEN)).alias("__e"), F.lit(1).cast("long").alias("__n")
+        *keys, F.unix_micros(start).alias("__s"), F.coalesce(F.unix_micros(end), F.lit(OPEN)).alias("__e"), (F.col(count) if count else F.lit(1)).cast("long").alias("__n")
     ).where("__e > __s")
     hot = skew.find_hot(rows if probe is None else probe.select(*keys, F.unix_micros(start).alias("__s")), keys, "__s", rows_per_task)
     if hot is None:

@@ -67,3 +67,16 @@ def test_hot_entities_are_split_and_stitched(spark, rows_per_task):
 
 def test_empty(spark):
     assert read(merge_intervals(as_df(spark, []), ["k"], "s", "e")) == set()
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=40))
+def test_gaps_and_changes_follow_every_insertion(rows):
+    held, there = IntervalMap(), {}
+    for s, n in rows:
+        log = []
+        held.insert(s, s + n, log=log)
+        for *row, change in log:
+            there[tuple(row)] = there.get(tuple(row), 0) + change
+        assert list(held.gaps()) == list(zip(held.ends[:-1], held.starts[1:]))
+        now = {("period", *p) for p in held.periods()} | {("gap", *g, 0) for g in held.gaps()}
+        assert {r for r, c in there.items() if c} == now and all(c in (0, 1) for c in there.values())
