@@ -16,6 +16,7 @@ from memlake.functions.predicates import NAMESPACE, invalid, valid_at
 from memlake.functions.text import SPACE, derive_title, proposed_id, truncate
 from memlake.operators import fusion, sessions, temporal
 from memlake.operators.vector_search import first_matches, search
+from memlake.session import cut
 
 #: How alike a fact must be to one it contradicts.
 CONFLICT = 0.92
@@ -146,7 +147,8 @@ def recall(
         parts = [vector_hits(queries, docs.limit(0), k, threshold, namespace)]
     fused = fusion.fuse(fusion.union_hits(*parts), max(cap, window) if rerank else cap)
     if rerank:
-        fused = fusion.rerank(fused.join(queries.select("query_id", "query"), "query_id"), limit=window, scorer=scorer).where(F.col("rank") <= cap)
+        # at most max(cap, window) rows a query, read several times by the second score
+        fused = fusion.rerank(cut(fused.join(queries.select("query_id", "query"), "query_id")), limit=window, scorer=scorer).where(F.col("rank") <= cap)
     return fused.select("query_id", "doc_id", "source", "path", "status", "snippet", "score", "rank")
 
 

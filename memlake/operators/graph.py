@@ -52,6 +52,8 @@ def neighbors(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None
     steps = adjacency(edges, direction)
     if nodes is not None:
         steps = steps.join(nodes.select(F.col("id").alias("next")).where("next is not null").distinct(), "next", "left_semi")
+    if depth > 1:
+        steps = cut(steps)  # every level reads them
     seed = seeds.columns[0]
     start = seeds.select(F.col(seed).alias("seed")).where("seed is not null").distinct()
     frontier = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))

@@ -25,7 +25,8 @@ def bm25(candidates: DataFrame, query_id: str, query: str, text: str, out: str =
     shared = F.transform(F.array_intersect("__q", "__d"), lambda t: F.struct(t.alias("t"), times("__d", t).alias("f"), times("__q", t).alias("m")))
     rows = rows.withColumns({"__hit": shared, "__len": F.size("__d").cast("double"), "__per": F.struct(F.col(query_id).alias("q"))}).drop("__q", "__d")
     sizes = rows.groupBy("__per").agg(F.count("*").cast("double").alias("__n"), F.avg("__len").alias("__avg"))
-    counts = rows.select("__per", F.explode("__hit.t").alias("t")).groupBy("__per", "t").agg(F.count("*").cast("double").alias("n"))
+    # outer, since for a plain explode Spark infers a filter that would tokenise once per element
+    counts = rows.select("__per", F.explode_outer("__hit.t").alias("t")).where("t is not null").groupBy("__per", "t").agg(F.count("*").cast("double").alias("n"))
     counts = counts.groupBy("__per").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("__df"))
     rows = rows.join(sizes.join(counts, "__per", "left"), "__per")
     n = lambda h: F.element_at("__df", h["t"])

@@ -195,7 +195,7 @@ def recall_episodic(spark, sf):
 
 def bm25_scores(spark, sf):
     queries, docs = _asked(spark, sf)
-    hits = api.recall(queries, docs, threshold=0.1, namespace=["tenant_id"]).join(queries.select("query_id", "query"), "query_id")
+    hits = cut(api.recall(queries, docs, threshold=0.1, namespace=["tenant_id"]).join(queries.select("query_id", "query"), "query_id"))
     return lexical.bm25(hits, "query_id", "query", "snippet").select("query_id", "doc_id", _r6("bm25").alias("bm25"))
 
 
@@ -376,7 +376,7 @@ def atoms_resolved(spark, sf):
 
 
 def atoms_chains(spark, sf):
-    atoms = _atoms(spark, sf)
+    atoms = cut(_atoms(spark, sf).select("id", "status", "crosslinks"))
     return A.verify_chains(atoms.where(_hundredth("id")).select("id"), atoms)
 
 

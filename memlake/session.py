@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", app: str = "memlake", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.unionOutputPartitioning", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -47,7 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut; survives lost executors."""
+    """``df`` written to the shared checkpoint folder, its lineage cut; survives lost executors.
+
+    The files go with the table where the cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
