@@ -1,8 +1,11 @@
+import os
 import random
 
 import pytest
 
-from memlake.llm.mixing import mix_sources, virtual_end
+from memlake.llm.mixing import closing, mix_sources, sums_reached, virtual_end
+from memlake.llm.queries import QUERIES
+from memlake.session import prepare
 
 DOCS = "doc_id long, source string, size int, finish string"
 
@@ -55,3 +58,26 @@ def test_empty(spark):
     assert taken.count() == 0 and report.collect()[0]["actual_share"] == 0
     taken, report = mix_sources(spark.createDataFrame([(1, "a", 5, "x")], DOCS), "doc_id", "source", "size", goal.limit(0))
     assert taken.count() == 0 and report.count() == 0
+
+
+def test_parts_are_closed_by_several_documents(spark):
+    # the scarcest source gives 8 x 16; a part of 256 is met by 102 + 154, never by one document
+    docs = [(0, "scarce", 16, "x")] + [(1 + i, "rough", s, "x") for i, s in enumerate([669, 102, 479, 154, 802, 1100])] + [(20 + i, "fine", 7 + i % 40, "x") for i in range(300)]
+    goal = [("scarce", 0.03, 8), ("rough", 0.06, 1), ("fine", 0.91, 1)]
+    _, report = mix_sources(spark.createDataFrame(docs, DOCS), "doc_id", "source", "size", targets(spark, goal))
+    by = {r["source"]: r for r in report.collect()}
+    assert all(abs(by[s]["actual_share"] - share) < 0.002 for s, share, _ in goal)
+    assert by["scarce"]["n_docs"] == 1 and by["scarce"]["n_taken"] == 8
+
+
+def test_closing():
+    assert closing([669, 102, 479, 154, 256], 256.2) == [1, 3]
+    assert closing([300, 10], 12.0) == [1] and closing([5, 5, 5], 12.0) == [0, 1] and closing([100], 30.0) == []
+    assert list(sums_reached({3: 2, 7: 1}, 12).nonzero()[0]) == [0, 3, 6, 7, 10]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_sound_where_the_scarcest_source_has_one_document(spark):
+    prepare(spark)
+    rows = QUERIES["p7_sound"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 11 and not any(r["off_target"] or r["too_often"] or r["copy_taken_twice"] for r in rows)
