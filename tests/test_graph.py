@@ -3,6 +3,7 @@ import random
 import pytest
 
 from memlake.operators import atoms, graph
+from memlake.session import cut
 
 EDGES = "id string, from_node string, to_node string, depth string"
 
@@ -126,3 +127,21 @@ def test_long_chain_is_walked_to_its_end(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(140)], "node string, next string")
     out = graph.reachable(spark.createDataFrame([("0",)], "id string"), chain, stride=8).collect()
     assert sorted((int(r["node"]), r["depth"]) for r in out) == [(i, i) for i in range(141)]
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_walks_write_nothing_found_and_equal_level_by_level(spark, monkeypatch, direction):
+    rng = random.Random(5)
+    edges = [(f"e{rng.randrange(10_000):04}", f"n{min(rng.randrange(60), rng.randrange(60))}", f"n{rng.randrange(60)}") for _ in range(250)]
+    edges += [("e1", None, "n1"), ("e2", "n1", None), (None, "n2", "n59"), ("same", "n3", "n7"), ("same", "n3", "n8")]
+    frame = spark.createDataFrame(edges, "id string, from_node string, to_node string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 7)] + [("n7",), (None,), ("nowhere",)], "id string")
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df) or cut(df))
+    walked = graph.neighbors(seeds, frame, depth=3, direction=direction)
+    assert len(written) == 1  # the steps, and nothing that grows with seeds times nodes
+    by_level = graph.neighbors(seeds, frame, depth=3, direction=direction, steps_held=0)
+    rows = [sorted(map(str, out.select("seed", "node", "depth", "path").collect())) for out in (walked, by_level)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+    assert walked.schema.simpleString() == by_level.schema.simpleString()
+    assert graph.neighbors(seeds, frame.limit(0), depth=2, direction=direction).count() == 0
