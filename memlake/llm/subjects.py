@@ -4,8 +4,8 @@
 2. Languages are modelled from the cleaned ``lang`` column and assigned to every text by its
    words, so that words count as discriminative within their language only.
 3. Normalised document vectors (squared inverse document frequencies counted over all documents,
-   boilerplate words of a language left out) are clustered by bisecting k-means: the tree is grown on a
-   bounded sample, then all documents go down it and its centroids become their means.
+   boilerplate words of a language left out) are clustered by bisecting k-means over all
+   documents, and the centroids become the means of the documents that go down the tree.
 4. Leaves are described by the subjects of the labelled documents in them, and through the
    mixtures of the leaves every word of the corpus gets a distribution over subjects: the
    discriminative terms. A second round counts them from the sentences the first one assigned.
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
@@ -35,14 +36,14 @@ from memlake.session import cut
 WORDS = 2**18
 FEATURES = 4096
 LEAVES = 96
-#: Documents on which the tree is grown, taken by hash of the key; none is smaller than LEAF_DOCS.
+#: Up to so many documents the tree is grown from on the driver; from more in passes over all. No leaf is smaller than LEAF_DOCS.
 TREE_SAMPLE = 20_000
+#: Tasks of such a pass at most; each sends sums of at most 2 * LEAVES * FEATURES coordinates to the driver.
+TASKS = 64
 LEAF_DOCS = 8
 #: Languages modelled one by one, the commonest first; all others are one language more.
 LANGUAGES = 16
 LANGUAGE_WORDS = 4096
-#: The labelled rows used, taken by hash of the key where there are more.
-MAX_LABELS = 50_000
 BOILERPLATE = 0.4
 SHARE = 0.25
 SMOOTH = 20.0
@@ -293,8 +294,109 @@ def _grown(tree: Tree, doc: np.ndarray, dim: np.ndarray, value: np.ndarray, n: i
     tree.leaf[ends] = np.arange(len(ends))
 
 
+def _grown_in_passes(tree: Tree, rows: DataFrame, langs: Languages, leaves: int, rounds: int = 6) -> None:
+    """``_grown`` for any number of documents: all leaves that may be among the largest are cut at once, level by level, each round a pass.
+
+    A part is smaller than what it was cut from, so the nodes cut one by one, the largest first, are the largest
+    of those that a tree cut everywhere has; what was cut beyond them is taken back at the end.
+    """
+    context = rows.sparkSession.sparkContext
+    model = context.broadcast((langs, tree))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, tree = model.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                b = _Batch(batch.slice(i, 2000), langs)
+                doc, dim, _ = tree.vectors(b.term_doc, b.features, b.n)
+                parts = np.split(dim.astype(np.int32), np.searchsorted(doc, np.arange(1, b.n)))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in parts], pa.binary())], names=["dims"])
+
+    held = cut(rows.select("terms", "ends").mapInArrow(vectors, "dims binary").coalesce(TASKS))
+
+    def sums(nodes: list[int], two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of both sides of every node to be cut the sums and numbers of documents."""
+        where = np.full(len(centres), -1)
+        where[nodes] = np.arange(len(nodes))
+        now = Tree(tree.weights, tree.kept, np.array(centres), np.array(children), tree.leaf)
+        shared = context.broadcast((now, where, (two[:, 0] - two[:, 1])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, where, apart = shared.value
+            total, count = np.zeros(2 * len(apart) * FEATURES), np.zeros(2 * len(apart), dtype=np.int64)
+            for batch in batches:
+                dim, size = _numbers(batch.column(0))
+                n = len(size)
+                doc = np.repeat(np.arange(n), size)
+                value = now.weights[dim]
+                value = value / np.maximum(np.sqrt(np.bincount(doc, weights=value**2, minlength=n)), 1e-30)[doc]
+                node = now.down(doc, dim, value, n)
+                at = np.where(node < 0, -1, where[node])
+                mine = at[doc] >= 0
+                doc, dim, value = doc[mine], dim[mine], value[mine]
+                lead = np.bincount(doc, weights=value * apart[at[doc], dim], minlength=n)
+                side = 2 * at + (lead < 0)
+                total += np.bincount(side[doc] * FEATURES + dim, weights=value, minlength=len(total))
+                count += np.bincount(side[at >= 0], minlength=len(count))
+            for k in np.flatnonzero(count):
+                own = total[k * FEATURES : (k + 1) * FEATURES]
+                used = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([count[k]]), pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([own[used].tobytes()], pa.binary())], names=["side", "n", "used", "sums"])
+
+        out, number = np.zeros((2 * len(nodes), FEATURES)), np.zeros(2 * len(nodes), dtype=np.int64)
+        for r in held.mapInArrow(run, "side long, n long, used binary, sums binary").collect():
+            out[r["side"], np.frombuffer(r["used"], dtype=np.int32)] += np.frombuffer(r["sums"])
+            number[r["side"]] += r["n"]
+        shared.destroy()
+        return out.reshape(len(nodes), 2, FEATURES), number.reshape(len(nodes), 2)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
+
+    centres, children = [np.zeros(FEATURES)], [[-1, -1]]
+    whole, number = sums([0], np.zeros((1, 2, FEATURES)))  # without a difference all are on one side
+    centres[0], size = unit(whole[0, 0]), {0: int(number.sum())}
+    ends, shut = {0}, set()
+    while True:
+        inner = sorted((size[i] for i in size if children[i][0] >= 0), reverse=True)
+        least = inner[leaves - 2] if leaves > 1 and len(inner) >= leaves - 1 else 0
+        nodes = sorted((i for i in ends - shut if size[i] >= 2 * LEAF_DOCS and size[i] > least), key=lambda i: (-size[i], i))[: leaves - 1]
+        if not nodes:
+            break
+        noise = np.stack([np.random.default_rng([1, i]).normal(size=FEATURES) * centres[i] * 0.5 for i in nodes])
+        middle = np.stack([centres[i] for i in nodes])
+        two = np.stack([middle + noise, middle - noise], axis=1)
+        for _ in range(rounds):
+            before = two
+            parts, number = sums(nodes, two)
+            two = unit(parts)
+            if np.allclose(before, two, atol=1e-12):
+                break
+        for k, i in enumerate(nodes):
+            if number[k].min() < LEAF_DOCS:
+                shut.add(i)
+                continue
+            children[i] = [len(centres), len(centres) + 1]
+            ends.remove(i)
+            for side in (0, 1):
+                ends.add(len(centres))
+                size[len(centres)] = int(number[k, side])
+                centres.append(two[k, side])
+                children.append([-1, -1])
+    # the largest are cut, their parents always among them; the numbers stay in order, children behind their parents
+    largest = set(sorted((i for i in size if children[i][0] >= 0), key=lambda i: (-size[i], i))[: max(0, leaves - 1)])
+    kept = [0] + [c for i in range(len(centres)) if i in largest for c in children[i]]
+    kept.sort()
+    new = {old: k for k, old in enumerate(kept)}
+    tree.centres = np.array([centres[i] for i in kept])
+    tree.children = np.array([[new[c] for c in children[i]] if i in largest else [-1, -1] for i in kept])
+    tree.leaf = np.full(len(kept), -1)
+    last = np.nonzero(tree.children[:, 0] < 0)[0]
+    tree.leaf[last] = np.arange(len(last))
+
+
 def _tree(rows: DataFrame, langs: Languages, leaves: int) -> Tree:
-    """The tree: word counts over all documents, growth on the sample, centroids over all documents."""
+    """The tree: word counts, growth and centroids over all documents."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(langs)
 
@@ -323,12 +425,12 @@ def _tree(rows: DataFrame, langs: Languages, leaves: int) -> Tree:
     # the small constant keeps documents of nothing but rare or common words from being all zero
     idf = np.where(df >= 2, np.maximum(np.log((spoken.sum() + 1) / (np.minimum(df, spoken.sum()) + 1)), 0), 0)
     tree = Tree(idf**2 + 1e-6, kept, np.zeros((1, FEATURES)), np.full((1, 2), -1), np.zeros(1, dtype=int))
-    total = max(1.0, spoken.sum())
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < int(min(1.0, TREE_SAMPLE / total) * (1 << 24)) + 1
-    sample = rows.where(draw).select("terms", "ends").limit(2 * TREE_SAMPLE).toArrow().combine_chunks()
-    for part in sample.to_batches():
-        b = _Batch(part, langs)
-        _grown(tree, *tree.vectors(*b.words(), b.n), b.n, leaves)
+    if spoken.sum() <= TREE_SAMPLE:
+        for part in narrow.toArrow().combine_chunks().to_batches():
+            b = _Batch(part, langs)
+            _grown(tree, *tree.vectors(*b.words(), b.n), b.n, leaves)
+    else:
+        _grown_in_passes(tree, rows, langs, leaves)
     grown = context.broadcast((langs, tree))
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,24 +467,30 @@ def _log_odds(table: np.ndarray, tongue: np.ndarray) -> np.ndarray:
     return out
 
 
+def _own(given: pa.Array, classes: int) -> np.ndarray:
+    """The classes people gave each document, in equal parts; zeros where they gave none."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(given), 0))
+    doc = np.repeat(np.arange(len(size)), size)
+    own = np.zeros((len(size), classes))
+    own[doc, np.asarray(given.flatten(), dtype=np.int64)] = 1 / size[doc]
+    return own
+
+
 @dataclass
 class Model:
-    """Everything the passes over the sentences share; bounded by WORDS, LEAVES and MAX_LABELS."""
+    """Everything the passes over the sentences share; bounded by WORDS and LEAVES."""
 
     langs: Languages
     tree: Tree
     leaf_mix: np.ndarray
-    labels: dict
     rounds: list[np.ndarray]
 
-    def prior(self, keys: list, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def prior(self, given: pa.Array, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mix = self.leaf_mix[leaf].copy()
-        weight = np.ones(len(keys))
-        for i, k in enumerate(keys):
-            own = self.labels.get(k)
-            if own is not None:
-                mix[i] = 0.3 * mix[i] + 0.7 * own
-                weight[i] = 3.0
+        own = _own(given, mix.shape[1])
+        labelled = own.any(1)
+        mix[labelled] = 0.3 * mix[labelled] + 0.7 * own[labelled]
+        weight = np.where(labelled, 3.0, 1.0)
         mix *= 1 - NONE_PRIOR
         mix[:, -1] += NONE_PRIOR
         return mix, weight
@@ -395,7 +503,7 @@ class Model:
     def assign(self, batch: pa.RecordBatch) -> tuple[_Batch, np.ndarray, np.ndarray]:
         """The batch, the weight of each document, and the class distribution of each sentence after the rounds so far."""
         b = _Batch(batch, self.langs)
-        mix, weight = self.prior(batch.column("key").to_pylist(), self.leaves(b))
+        mix, weight = self.prior(batch.column("given"), self.leaves(b))
         post, prior = mix[b.sent_doc], mix
         for odds in self.rounds:
             score = b.by_sentence(odds) + np.log(prior[b.sent_doc] + 0.01)
@@ -440,29 +548,24 @@ def subject_shares(docs: DataFrame, key: str, text: str, lang: str, labels: Data
     no sentences and come out with no row. ``lang`` may be null, padded or wrong.
     """
     classes = [*subjects, "none"]
-    rows = cut(_tokenised(docs, key, text, lang))
+    at = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    wanted = labels.where(F.col(key).isNotNull() & F.col("subject").isin(classes)).select(F.col(key).alias("key"), F.element_at(at, F.col("subject")).alias("class"))
+    given = wanted.groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("given"))
+    rows = cut(_tokenised(docs, key, text, lang).join(given, "key", "left"))
     langs = _languages(rows)
     tree = _tree(rows, langs, leaves)
-    wanted = labels.where(F.col(key).isNotNull() & F.col("subject").isin(classes)).select(F.col(key).alias("key"), "subject").distinct()
-    sample = wanted.orderBy(F.xxhash64("key"), "key", "subject").limit(MAX_LABELS)
-    given = sample.groupBy("key").agg(F.collect_set("subject").alias("subjects"))
-    at = {s: i for i, s in enumerate(classes)}
-    known: dict = {}
-    model = Model(langs, tree, np.zeros((leaves + 2, len(classes))), known, [])
+    model = Model(langs, tree, np.zeros((leaves + 2, len(classes))), [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((leaves + 2, len(classes)))
         for batch in batches:
-            leaf = shared.value.leaves(_Batch(batch, shared.value.langs))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(leaf.astype(np.int32)), batch.column("subjects")], names=["key", "leaf", "subjects"])
-
-    labelled = rows.join(F.broadcast(given), "key")
-    labelled = labelled.mapInArrow(place, labelled.select("key").schema.add("leaf", "integer").add(given.schema["subjects"]))
-    for r in labelled.select("key", "leaf", "subjects").collect():
-        own = np.zeros(len(classes))
-        own[[at[s] for s in r["subjects"]]] = 1 / len(r["subjects"])
-        known[r["key"]] = own
-        model.leaf_mix[r["leaf"]] += own
+            np.add.at(table, shared.value.leaves(_Batch(batch, shared.value.langs)), _own(batch.column("given"), len(classes)))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table.ravel()[used])], names=["at", "sum"])
+
+    placed = _summed(rows.where("given is not null").mapInArrow(place, "at long, sum double"), "at", "sum")
+    model.leaf_mix.ravel()[placed["at"].to_numpy()] = placed["sum"].to_numpy()
     mix = model.leaf_mix
     base = mix.sum(0) / mix.sum() if mix.sum() else np.full(len(classes), 1 / len(classes))
     model.leaf_mix = (mix + 2 * base) / (mix.sum(1, keepdims=True) + 2)

@@ -76,3 +76,21 @@ def test_tree_covers_all_documents(spark, monkeypatch):
     b = subjects._Batch(rows.toArrow().combine_chunks().to_batches()[0], langs)
     node = tree.down(*tree.vectors(*b.words(), b.n), b.n)
     assert b.n == 300 and (tree.children[node, 0] < 0).all()
+
+
+def test_nothing_is_learnt_from_a_sample(spark, monkeypatch):
+    from memlake.llm import subjects
+
+    docs, truth = corpus(240, seed=2)
+    frame = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, lang string")
+    monkeypatch.setattr(subjects, "TREE_SAMPLE", 50)
+    grown = []
+    passes = subjects._grown_in_passes
+    monkeypatch.setattr(subjects, "_grown_in_passes", lambda tree, rows, *more: grown.append(rows.count()) or passes(tree, rows, *more))
+    labels = spark.createDataFrame([(i, s) for i in range(0, 240, 3) for s in (truth[i] or {"none"})], "doc_id long, subject string")
+    monkeypatch.setattr(subjects, "MAX_LABELS", 1, raising=False)  # there was such a bound
+    out = subject_shares(frame, "doc_id", "text", "lang", labels, ["cooking", "law"], leaves=6).collect()
+    assert grown == [240]
+    got = {(r["doc_id"], r["subject"]) for r in out if r["share"] >= 0.22 and r["doc_id"] % 3}
+    want = {(i, s) for i in truth if i % 3 for s in truth[i]}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
